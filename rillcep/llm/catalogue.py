@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from rillcep.llm import minhash, suffix
+from rillcep.llm import chat, decontaminate, katz, language, minhash, packing, suffix, toxicity, urlfilter, vectors
 
 QUERIES = {
+    "op1_nnpu_toxicity": toxicity.query,
+    "op2_graph_embedding_dedup": vectors.query,
+    "op3_katz_backoff": katz.query,
+    "op4_url_filter": urlfilter.query,
     "op5_suffix_dedup": suffix.query,
+    "op6_power_of_two_packing": packing.query,
+    "op7_seed_align_decontamination": decontaminate.query,
+    "op8_compression_language_id": language.query,
     "op9_minmax_near_dedup": minhash.query,
+    "op10_reply_tree_chat": chat.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_url_filter": urlfilter.oracle(), "op10_reply_tree_chat": chat.oracle()}

@@ -17,7 +17,7 @@ from rillcep.llm.common import arrow, mix64, random64, staged, sub_batches, tabl
 from rillcep.llm.graph import components
 
 #: Documents compared in one task at most; larger candidate blocks are compared piece by piece.
-BLOCK = 2000
+BLOCK = 500
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, val
     cut = blocks.join(sizes, "component").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.select(F.col("node").alias("doc_id"), "component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
-    compared = cut.join(source.where("doc_id is not null"), "doc_id").select("component", "i", "j", "doc_id", "text")
+    compared = cut.join(source.where("doc_id is not null").hint("merge"), "doc_id").select("component", "i", "j", "doc_id", "text")
     compared = compared.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
     linked = components(compared.mapInArrow(_linker(width, percent), "a long, b long"))
     # 4. Back to every row through its class.
