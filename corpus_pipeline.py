@@ -1,23 +1,57 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Documents that score as toxic go; of each group of near duplicates one document stays; passages that repeat are cut
+out of the texts; documents that hold a benchmark item go; the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillcep.llm import minhash, suffix
+from rillcep.llm import decontaminate, minhash, packing, suffix, toxicity
 from rillcep.llm.common import staged, table
 
+#: Bytes of a repeated passage: what fifty words have at least, in the languages here.
+PASSAGE = 240
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents scored 0.7 or more by a model of all labelled documents."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, *docs.columns).where("score < 0.7").drop("score")
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = minhash.near_duplicates(docs, threshold=0.8).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["doc_id"]), "left_semi")
+    """Keeps the smallest doc_id of each group linked at similarity 0.8, once; rows without a doc_id stay."""
+    kept = minhash.near_duplicates(docs, threshold=0.8).where("kept").select(F.col("doc_id").alias("rill_kept")).distinct()
+    named = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["rill_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every repeated passage of PASSAGE bytes out of the texts; no document is dropped."""
+    return suffix.without_repeats(docs, width=PASSAGE)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark item was found."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("rill_found")).distinct()
+    return docs.join(found, docs["doc_id"] == found["rill_found"], "left_anti")
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix.without_repeats(docs, width=240)
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece, with its token ids."""
+    return packing.pack(docs, context=2048, end_id=1)
 
 
-STAGES = [("near_dedup", near_dedup), ("suffix_dedup", substring_dedup)]
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("packing", sequence_packing),
+]
 
 #: SQL can't express trained models, hashing or the tokenizer.
 ORACLE_SQL = None
