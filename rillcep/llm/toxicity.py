@@ -70,7 +70,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     df_u[at] = df[where]
     share_p, share_u = (df_p + 0.5) / (len(positive) + 1), (df_u + 0.5) / (len(unlabelled) + 1)
     strength = share_p * np.log(share_p / share_u)
-    usable = (df_p >= max(4, 0.015 * len(positive))) & (share_p > 3 * share_u)
+    usable = (df_p >= max(min(8, 0.4 * len(positive)), 0.015 * len(positive))) & (share_p > 3 * share_u)
     chosen = names[usable][np.argsort(-strength[usable], kind="stable")[:MAX_FEATURES]]
     chosen.sort()
 
