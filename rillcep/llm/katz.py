@@ -19,18 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillcep.llm.common import arrow, discard, held_out, mix64, staged, sub_batches, table, token_ids, words_of
+from rillcep.llm.common import arrow, discard, held_out, mix64, staged, sub_batches, table, words_of
 
 K_GT = 5
 #: Bytes of text in a block, and buckets of each exchange for each block.
-BLOCK, SPREAD = 32 << 20, 4
+BLOCK, SPREAD = 16 << 20, 2
 
-END, START = (int(x) for x in token_ids([b"", b" "]))  # no word is either
+START = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 
 
 def packed(values: np.ndarray, kind: str) -> bytes:
@@ -47,24 +48,32 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
 BLOCKS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("known", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary())])
 
 
+class _Numbering(dict):
+    """Tokens numbered as they come."""
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self)
+        return n
+
+
 def _blocker(limit: int):
     def run(batches):
         at = TaskContext.get().partitionId() << 32
-        docs, held, arrays, size = [], [], [], 0
+        docs, held, arrays, size, names = [], [], [], 0, _Numbering()
 
         def close():
             nonlocal at, size
-            flat = np.concatenate(arrays)
+            number = np.concatenate(arrays)
             sizes = np.array([len(a) for a in arrays])
-            vocabulary, number, counts = np.unique(flat, return_inverse=True, return_counts=True)
-            by = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+            vocabulary = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), dtype=np.uint64, count=len(names))
+            by = np.argsort(-np.bincount(number), kind="stable")  # frequent words get small numbers
             rank = np.empty(len(by), dtype=np.int64)
             rank[by] = np.arange(len(by))
             number = rank[number]
             learned = np.repeat(~np.array(held, dtype=bool), sizes)
             row = [at, np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs]).tobytes(), np.array(held, dtype=bool).tobytes(), sizes.astype("<u4").tobytes(), vocabulary[by].tobytes(), packed(np.bincount(number[learned], minlength=len(by)), "<u4"), packed(number, "<u4")]
             at, size = at + 1, 0
-            docs.clear(), held.clear(), arrays.clear()
+            docs.clear(), held.clear(), arrays.clear(), names.clear()
             return arrow(BLOCKS, [[v] for v in row])
 
         for batch in batches:
@@ -72,7 +81,9 @@ def _blocker(limit: int):
             for lo, hi in sub_batches(texts, 2 << 20):
                 for i in range(lo, hi):
                     docs.append(ids[i]), held.append(folds[i])
-                    arrays.append(np.append(token_ids(words_of(texts[i])), np.uint64(END)))
+                    words = words_of(texts[i])
+                    words.append(b"")  # the end; no word is empty
+                    arrays.append(np.fromiter(map(names.__getitem__, words), dtype=np.int32, count=len(words)))
                     size += len(texts[i] or b"")
                 if size >= limit:
                     yield close()
