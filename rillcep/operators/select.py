@@ -208,7 +208,8 @@ def limited(df: DataFrame, rate: ast.Rate, keys: list[str], groups: list[str]) -
         return df.withColumn(US, end).drop("__slot", "__from")
     final = F.max("__slot").over(W.partitionBy(*map(col, keys)))
     until = F.coalesce(F.lead("__slot").over(part.orderBy("__slot")) - 1, F.col("__final"))
-    df = df.withColumn("__final", final).withColumn("__slot", F.explode(F.sequence(F.col("__slot"), until)))
+    df = df.withColumn("__final", final)
+    df = df.withColumn("__until", until).withColumn("__slot", F.explode(F.sequence("__slot", "__until"))).drop("__until")
     return df.withColumn(US, F.col("__from") + (F.col("__slot") + 1) * rate.time).drop("__slot", "__from", "__final")
 
 
