@@ -290,3 +290,39 @@ ORACLES["star_stream_join"] = "SELECT o_custkey AS cust, l_orderkey AS ord, l_li
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A click followed by a purchase of the same user."""
     return QUERIES["pat_every_ab"](spark, sf_dir)
+
+
+# Streaming replays of queries above: the same rows
+def streamed(name: str, cql: str, oracle: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import tempfile
+        import uuid
+
+        from rillcep.sources import connectors
+        from rillcep.streaming import execute
+
+        path = f"{sf_dir}/events.parquet"
+        batch = spark.read.parquet(path)
+        e = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+        e = e.select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"), ms.alias("ms"), "ts")
+        env = CEPEnvironment(spark)
+        env.register_stream("E", e, *FIELDS, ts="ts", seq="event_id")
+        for n, kind in KINDS.items():
+            env.register_stream(n, e.where(F.col("event_type") == kind), *FIELDS, ts="ts", seq="event_id")
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rillcep-')}"
+        at = f"{base}/stream-{uuid.uuid4().hex}"
+        out = execute.stream(env, cql, "O", reorder=False)
+        connectors.write_parquet_once(out, f"{at}/out", f"{at}/checkpoint")
+        return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+    QUERIES[name] = run
+    ORACLES[name] = ORACLES[oracle]
+
+
+streamed("stream_filter", "from E[event_type == 'click' and cents > 2500] select event_id, cents insert into O", "filter_simple")
+streamed("stream_running_sum", "partition with (user_id of E) begin from E select event_id, user_id, sum(cents) as total insert into O; end", "running_group_sum")
+streamed("stream_length_window", "partition with (user_id of E) begin from E#window.length(5) select event_id, user_id, sum(cents) as total insert into O; end", "win_length_partitioned")
+streamed("stream_join_time_time", "from Click#window.time(12 hours) as a join Purchase#window.time(12 hours) as b on a.user_id == b.user_id select a.event_id as l, b.event_id as r, a.cents + b.cents as total insert into O", "join_time_time")
+streamed("stream_pattern", BYUSER.replace("{p}", f"{EVERY} select a.event_id as a, b.event_id as b insert into O;"), "pat_every_ab")
+streamed("stream_sequence", BYUSER.replace("{p}", "every a=E[event_type == 'click'], b=E[event_type == 'purchase'] select a.event_id as a, b.event_id as b insert into O;"), "seq_ab")

@@ -38,7 +38,7 @@ def projected(name: str, df: DataFrame, fields: tuple[str, ...], positional: boo
 
     positional renames the first columns to the fields; else fields are found by name, an unknown one is an error.
     ts: a column of a timestamp type, or of long milliseconds; None for the time of reading. seq: a column that orders
-    events of equal time; None for the order of the DataFrame's rows."""
+    events of equal time; None for the order of the DataFrame's rows (in a streaming DataFrame: none)."""
     if name is None or df is None:
         raise ValueError("a stream needs a name and a DataFrame")
     if positional:
@@ -63,6 +63,7 @@ def projected(name: str, df: DataFrame, fields: tuple[str, ...], positional: boo
         c = ts if isinstance(ts, Column) else col(ts)
         kind = df.select(c.alias("t")).schema[0].dataType.typeName()
         us = F.unix_micros(c.cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else c.cast("long") * 1000
-    order = F.monotonically_increasing_id() if seq is None else (seq if isinstance(seq, Column) else col(seq)).cast("long")
+    row = F.lit(0).cast("long") if df.isStreaming else F.monotonically_increasing_id()
+    order = row if seq is None else (seq if isinstance(seq, Column) else col(seq)).cast("long")
     out = df.select(*(col(c).alias(f) for f, c in source.items()), us.alias(US), order.alias(SEQ))
     return StreamSchema(name, tuple((f, attribute_type(types[c])) for f, c in source.items())), out
