@@ -75,6 +75,7 @@ def _programmed(env, query: ast.Query, partition, delay: str, reorder: bool) ->
         one = s.df.select(US, SEQ, F.lit(n).alias("__stream"), *(col(k).cast("string").alias(k) for k in keys), F.to_json(F.struct(*map(col, s.attributes)), {"ignoreNullFields": "false"}).alias("__row"))
         tagged = one if tagged is None else tagged.unionByName(one)
     schema = _output_schema(env, query, partition)
+    Program(query)  # what can't be streamed shows here
     program, columns = pickle.dumps(query), [f.name for f in schema.fields]
     by = keys or ["__all"]
     if not keys:
@@ -129,6 +130,8 @@ def _windowed(env, query: ast.Query, partition, call: ast.Call, delay: str) -> D
             raise AnalysisError("a streaming timeBatch needs its start")
         frame = F.window("__time", f"{windows.micros(call.args[0])} microseconds", startTime=f"{windows.micros(call.args[1])} microseconds")
     groups = [v.name for v in query.select.group_by]
+    if not by and not groups:  # a session window needs a key
+        df, by = df.withColumn("__all", F.lit("all")), ["__all"]
     made = {c: (f"__a{i}", select._aggregate(c, rel)[0]) for i, c in enumerate(select._aggregates(query.select, rel))}
     done = df.groupBy(*map(col, dict.fromkeys([*by, *groups])), frame.alias("__window")).agg(*(c.alias(n) for n, c in made.values()))
     scope = rel.scope.with_(aggregate=lambda c: (F.col(made[c][0]), select._aggregate(c, rel)[1]))
