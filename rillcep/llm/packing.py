@@ -6,7 +6,9 @@ piece is a sequence of its own in the bucket of its length, so none crosses docu
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rillcep.llm.common import sub_batches, table
 
-#: Chunks whose ids a worker remembers.
+#: Chunks whose ids a worker remembers, about.
 REMEMBERED = 1_000_000
 
 
@@ -27,33 +29,90 @@ def lengths(tokens: int, context: int) -> list[int]:
     return [context] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+class _Numbers(dict):
+    """Chunks numbered as they come."""
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Token ids of texts as packed little-endian 32-bit words.
+    """Token ids of texts as little-endian 32-bit words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks; each distinct
-    chunk is encoded once."""
+    chunk is encoded once. Plain chunks (Latin letters, perhaps marks behind) are encoded many at a time: each is one
+    or two pre-tokens, and the last id of a pre-token, and no other, has a word end."""
+
+    PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids = np.zeros(1 << 16, dtype="<u4")  # all chunks' ids; chunk i has sizes[i] from starts[i]
+        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.used = self.learned = 0
+
+    def _encode(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _keep(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        need = self.used + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(need, dtype="<u4")])
+        self.ids[self.used : need] = ids
+        self.starts[places] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[places] = sizes
+        self.used = need
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        first, self.learned = self.learned, self.learned + len(fresh)
+        if self.learned > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(self.learned, dtype=np.int64)]) for x in (self.starts, self.sizes))
+        text = [c.decode() for c in fresh]
+        found = [self.PLAIN.fullmatch(t) for t in text]
+        counts = np.array([0 if m is None else 1 + (m.end() > m.start(1)) for m in found], dtype=np.int64)
+        plain, other = np.flatnonzero(counts), np.flatnonzero(counts == 0)
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo : lo + 2000]
+            ids = np.array(self._encode([" ".join([text[i] for i in part])])[0], dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(counts[part])
+            if len(ends) != last[-1]:
+                other = np.append(other, part)
+                continue
+            self._keep(first + part, ids, np.diff(ends[last - 1], prepend=0))
+        if len(other):
+            rows = self._encode([text[i] for i in other])
+            self._keep(first + other, np.array([i for r in rows for i in r], dtype="<u4"), np.array([len(r) for r in rows]))
+
+    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        if self.learned > REMEMBERED:
+            self._forget()
         chunks = [t.split() if t else [] for t in texts]
-        fresh = list(set().union(*chunks) - self.known.keys())
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(set().union(*chunks))
-        encoded = self.tokenizer.encode_batch([c.decode() for c in fresh], add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(fresh, encoded))
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        number = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(chunks)), dtype=np.int64)
+        if len(self.numbers) > self.learned:
+            self._learn(list(itertools.islice(self.numbers, self.learned, None)))
+        sizes = self.sizes[number]
+        stops = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[number] - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        cuts = np.concatenate([[0], stops])[np.cumsum([len(c) for c in chunks])]
+        return np.split(ids, cuts[:-1]) if len(chunks) else []
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _packer(path: str, context: int, end: bytes, with_ids: bool):
+def _packer(path: str, context: int, end: np.uint32, with_ids: bool):
     def run(batches):
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
@@ -64,10 +123,10 @@ def _packer(path: str, context: int, end: bytes, with_ids: bool):
             for lo, hi in sub_batches(texts, 2 << 20):
                 out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "ids")}
                 for doc, ids in zip(docs[lo:hi], encoder(texts[lo:hi])):
-                    ids += end
-                    n, at = len(ids) // 4, 0
+                    ids = np.append(ids, end)
+                    n, at = len(ids), 0
                     for size in lengths(n, context):
-                        piece = ids[4 * at : 4 * (at + size)]
+                        piece = ids[at : at + size].tobytes()
                         for k, v in zip(out, (doc, at, size, zlib.crc32(piece), n, sequence, piece)):
                             out[k].append(v)
                         at, sequence = at + size, sequence + 1
@@ -95,7 +154,7 @@ def pack(docs: DataFrame, path: str | None = None, context: int = 2048, end_id:
     numbered inside each input partition, whose number is the upper part of sequence_id."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return d.mapInArrow(_packer(path or tokenizer_path(), context, np.array([end_id], dtype="<u4").tobytes(), with_ids), schema)
+    return d.mapInArrow(_packer(path or tokenizer_path(), context, np.uint32(end_id), with_ids), schema)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

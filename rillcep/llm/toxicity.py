@@ -3,7 +3,8 @@
 Confirmed toxic texts are the positives; a sample of all texts, labelled or not, is the unlabelled set; the share of
 toxic rows among labelled ones is the class prior pi. A linear model minimises
     pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])
-with the logistic loss; when the bracket turns negative, the step goes back along it instead.
+with the sigmoid loss, bounded as the paper advises: a prior that is off shifts scores little. When the bracket turns
+negative, the step goes back along it instead.
 Features are words and word beginnings of four and five letters (inflections share those).
 """
 
@@ -39,7 +40,7 @@ class _Memo(dict):
         self.made = made
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = self.made(word)
         return value
@@ -90,9 +91,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         gp, gu = xp @ w + b, xu @ w + b
-        risk_n = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        d_pos = -prior * sigma(-gp) / len(gp)
-        d_neg_p, d_neg_u = -prior * sigma(gp) / len(gp), sigma(gu) / len(gu)
+        sp, su = sigma(gp), sigma(gu)
+        risk_n = su.mean() - prior * sp.mean()
+        d_pos = d_neg_p = -prior * sp * (1 - sp) / len(gp)
+        d_neg_u = su * (1 - su) / len(gu)
         if risk_n >= 0:
             dp, du = d_pos + d_neg_p, d_neg_u
         else:
@@ -146,13 +148,13 @@ def _scorer(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns `keep` of docs and `score`: the probability that the whole text is toxic.
+def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and `name`: the probability that the whole text is toxic.
 
     Null and empty texts score the model's bias alone. One row for each input row; other columns are ignored."""
     d = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("text"))
     schema = ", ".join([f"{n} {t}" for n, t in d.dtypes[:-1]] + ["score double"])
-    return d.mapInArrow(_scorer(model), schema).toDF(*keep, "score")
+    return d.mapInArrow(_scorer(model), schema).toDF(*keep, name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
