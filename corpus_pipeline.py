@@ -19,7 +19,7 @@ PASSAGE = 240
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored 0.7 or more by a model of all labelled documents."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, *docs.columns).where("score < 0.7").drop("score")
+    return toxicity.score(docs, model, *docs.columns, name="rill_score").where("rill_score < 0.7").drop("rill_score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
