@@ -19,7 +19,7 @@ from rillcep.llm.graph import components
 
 #: Bounds: vectors the clustering sees, clusters, and vectors of one shard in a task (larger shards are cut into
 #: pieces, and each pair of pieces is searched).
-SAMPLE, CLUSTERS, PIECE = 20_000, 2048, 1200
+SAMPLE, CLUSTERS, PIECE = 20_000, 2048, 1000
 OVERLAP = 3
 #: Graph: nearest and random candidates of a node, neighbours kept, and the pruning slack.
 NEAREST, RANDOM, DEGREE, ALPHA = 32, 12, 20, 1.2
@@ -109,7 +109,8 @@ def search(x: np.ndarray, adjacency: list[np.ndarray], threshold: float, beam: i
     found = near[:, 0] >= threshold
     linked = np.zeros((n, n), dtype=bool)
     linked[found, medoid] = True
-    close = [(rows[near[:, 0] >= threshold - SLACK], np.full((near[:, 0] >= threshold - SLACK).sum(), medoid))]
+    inside = np.zeros((n, n), dtype=bool)
+    inside[near[:, 0] >= threshold - SLACK, medoid] = True
     while True:
         best = np.where(done, -np.inf, near)
         slot = best.argmax(axis=1)
@@ -126,25 +127,26 @@ def search(x: np.ndarray, adjacency: list[np.ndarray], threshold: float, beam: i
         visited[q[fresh], w[fresh]] = True
         linked[q[sims >= threshold], w[sims >= threshold]] = True
         near_by = sims >= threshold - SLACK
-        close.append((q[near_by], w[near_by]))
+        inside[q[near_by], w[near_by]] = True
         all_ids = np.concatenate([ids[active], w.reshape(-1, width)], axis=1)
         all_near = np.concatenate([near[active], sims.reshape(-1, width)], axis=1)
         all_done = np.concatenate([done[active], ~fresh.reshape(-1, width)], axis=1)
         top = np.argsort(-all_near, axis=1, kind="stable")[:, :beam]
         ids[active], near[active], done[active] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_near, all_done))
-    q, w = (np.concatenate(v) for v in zip(*close))
-    q, w = np.concatenate([q, rows]), np.concatenate([w, rows])  # a vector is a node in its own range
-    while len(q):
-        nq, nw = np.repeat(q, width), graph[w].ravel()
-        fresh = nw >= 0
-        fresh[fresh] = ~visited[nq[fresh], nw[fresh]]
-        pairs = np.unique(nq[fresh] * n + nw[fresh])
-        nq, nw = pairs // n, pairs % n
-        visited[nq, nw] = True
-        sims = _dots(x, nq, nw)
-        linked[nq[sims >= threshold], nw[sims >= threshold]] = True
-        inside = sims >= threshold - SLACK
-        q, w = nq[inside], nw[inside]
+    # Range expansion node by node: all queries that have the node in range look at its neighbours together.
+    inside[rows, rows] = True  # a vector is a node in its own range
+    while inside.any():
+        further = np.zeros_like(inside)
+        for node in np.flatnonzero(inside.any(axis=0)):
+            block = np.ix_(np.flatnonzero(inside[:, node]), adjacency[node])
+            fresh = ~visited[block]
+            if not fresh.any():
+                continue
+            sims = x[block[0][:, 0]] @ x[block[1][0]].T
+            visited[block] = True
+            linked[block] |= fresh & (sims >= threshold)
+            further[block] |= fresh & (sims >= threshold - SLACK)
+        inside = further
     linked |= linked.T
     np.fill_diagonal(linked, False)
     return linked
@@ -214,15 +216,18 @@ def _searcher(threshold: float):
             place = {r: k for k, r in enumerate(reps.tolist())}
             adjacency = [np.array([place[b] for b in r[8] or () if b in place], dtype=np.int64) for r in rows]
             linked, truth, first = audited(x, adjacency, threshold)
-            a, b = np.nonzero(linked)
-            same = shards[a][:, :, None] == shards[b][:, None, :]
-            lowest = np.where(same.any(axis=2), shards[a], np.iinfo(np.int64).max).min(axis=1)
-            own = (lowest == shard) & ((pieces[a] != pieces[b]) | (i == j))
-            links = np.bincount(a[own], weights=copies[b[own]], minlength=len(reps)).astype(np.int64)
-            root = reps.copy()
+            links, root = np.zeros(len(reps), dtype=np.int64), reps.copy()
+            last = np.iinfo(np.int64).max
+            for lo in range(0, len(reps), 100):
+                part = slice(lo, lo + 100)
+                # A pair counts in the smallest shard that holds both, and between pieces only.
+                same = (shards[part, None, :, None] == shards[None, :, None, :]).any(axis=3)
+                own = linked[part] & (np.where(same, shards[part, None, :], last).min(axis=2) == shard)
+                own &= (pieces[part, None] != pieces[None, :]) | (i == j)
+                links[part] = own @ copies
             while True:
-                low = root.copy()
-                np.minimum.at(low, a, root[b])
+                low = np.concatenate([np.where(linked[lo : lo + 100], root, last).min(axis=1) for lo in range(0, len(reps), 100)])
+                low = np.minimum(low, root)
                 if (low == root).all():
                     break
                 root = low
