@@ -168,6 +168,9 @@ add("join_self", "from E#window.time(1 hour) as a join E#window.time(1 hour) as
 add("join_within", "from Click#window.length(50) as a join Purchase#window.length(50) as b on a.user_id == b.user_id within 1 hour select a.event_id as l, b.event_id as r insert into O", f"+ l AS (SELECT *, lead(us, 50) OVER ({G}) AS dead FROM e WHERE event_type = 'click'), r AS (SELECT *, lead(us, 50) OVER ({G}) AS dead FROM e WHERE event_type = 'purchase') SELECT l.event_id AS l, r.event_id AS r FROM l JOIN r ON l.user_id = r.user_id AND abs(l.us - r.us) <= 3600000000 AND ((r.us < l.us AND (r.dead IS NULL OR l.us < r.dead)) OR (l.us < r.us AND (l.dead IS NULL OR r.us < l.dead)))")
 add("join_group_sum", "from Click#window.time(12 hours) as a join Purchase#window.time(12 hours) as b on a.user_id == b.user_id select b.user_id as user_id, count() as n group by b.user_id insert into C; from C select user_id, n insert into O", f"{TWO} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY l.event_id) AS n FROM l JOIN r USING (user_id) WHERE abs(l.us - r.us) < {H12}")
 
+add("join_aggregation", "define aggregation A from E select user_id, sum(cents) as total group by user_id aggregate every hour...month; from Signup join A on Signup.user_id == A.user_id within 0L, 1705276800000L per 'days' select Signup.event_id as id, A.AGG_TIMESTAMP as day, A.total as total insert into O", "+ a AS (SELECT us // 86400000000 * 86400000 AS day, user_id, CAST(sum(cents) AS BIGINT) AS total FROM e GROUP BY 1, 2) SELECT event_id AS id, day, total FROM e JOIN a USING (user_id) WHERE event_type = 'signup' AND day < 1705276800000")
+add("join_named_window", "define window W (event_id long, user_id long) time(12 hours); from Click select event_id, user_id insert into W; from W join Purchase#window.time(12 hours) as b on W.user_id == b.user_id select W.event_id as l, b.event_id as r insert into O", f"{TWO} SELECT l.event_id AS l, r.event_id AS r FROM l JOIN r USING (user_id) WHERE abs(l.us - r.us) < {H12}")
+
 # Tables
 add("table_insert_join", "define table T (k long, nation int, bal double); from Customers select c_custkey, c_nationkey, c_acctbal insert into T; from E join T on E.user_id == T.k select E.event_id as id, T.nation as nation insert into O", "SELECT event_id AS id, c_nationkey AS nation FROM e JOIN customer ON user_id = c_custkey")
 VERSION = f"+ v AS (SELECT user_id AS k, cents AS price, us, lead(us) OVER ({U}) AS dead FROM e WHERE event_type = 'view')"

@@ -88,6 +88,8 @@ class Join:
     trigger: str | None  # None for both, else left or right
     on: Any
     within: int | None
+    between: tuple | None = None  # times that bound an aggregation's rows
+    per: str | None = None  # the aggregation's unit
 
 
 @dataclass(frozen=True)

@@ -294,10 +294,20 @@ class Parser:
         if self.take("unidirectional"):
             trigger = "right"
         on = self.expression() if self.take("on") else None
-        within = self.duration() if self.take("within") else None
+        within, between, per = None, None, None
+        if self.take("within"):
+            at = self.at
+            bounds = self.listed(self.expression)
+            if len(bounds) == 2:
+                between = bounds
+            else:
+                self.at = at
+                within = self.duration()
         if self.take("per"):
-            self.expression()
-        return ast.Join(left, right, kind, trigger, on, within)
+            value = self.expression()
+            name = value.value if isinstance(value, ast.Const) else getattr(value, "name", "")
+            per = next((u for u in SPANS if name in UNITS[UNIT[u]].split()), None) or self.fail("a unit")
+        return ast.Join(left, right, kind, trigger, on, within, between, per)
 
     def pattern(self, strict: bool) -> ast.Pattern:
         mark = "," if strict else "->"

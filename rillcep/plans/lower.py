@@ -338,8 +338,9 @@ class Lowering:
     def _join(self, j: ast.Join, partition, inner) -> Rel:
         sides, names, keys = [], {}, []
         for place, (single, prefix) in enumerate(((j.left, "__l_"), (j.right, "__r_"))):
-            table = single.key in self.defined and self.defined[single.key].kind == "table"
-            stream = self._stream(single, inner)
+            rolled = single.key in self.defined and self.defined[single.key].kind == "aggregation"
+            table = rolled or single.key in self.defined and self.defined[single.key].kind == "table"
+            stream = self._rolled(single.key, j) if rolled else self._stream(single, inner)
             own: list[str] = []
             if not table:
                 stream, own = self._keyed(single.key, stream, partition)
@@ -381,6 +382,19 @@ class Lowering:
                 columns[n], types[n] = col(f"{prefix}{a}"), t
         return Rel(df, types, scope, keys, None, columns)
 
+    def _rolled(self, name: str, j: ast.Join) -> Stream:
+        """An aggregation as the static side of a join: its rows of the unit, with AGG_TIMESTAMP in the bounds."""
+        units = self._aggregation(self.defined[name])
+        if j.per not in units:
+            raise AnalysisError(f"{name} isn't kept per {j.per}")
+        df = units[j.per]
+        if j.between is not None:
+            a, b = (compile_(e, Scope(self._resolver({}, set()), self.extensions))[0] for e in j.between)
+            df = df.where((F.col("AGG_TIMESTAMP") >= a) & (F.col("AGG_TIMESTAMP") < b))
+        attributes = {f.name: attribute_type(f.dataType) for f in df.schema.fields}
+        always = {US: F.lit(-(1 << 62)), SEQ: F.lit(0).cast("long"), **{c: F.lit(None).cast("long") for c in tables.FROM_TO}}
+        return Stream(df.withColumns(always), attributes)
+
     def _equality(self, c, names, scope: Scope) -> tuple[Column, Column] | None:
         if not (isinstance(c, ast.Binary) and c.op == "=="):
             return None

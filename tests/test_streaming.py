@@ -48,3 +48,30 @@ def test_unsupported(spark, tmp_path):
 def test_kafka_json_codec(spark):
     df = spark.createDataFrame([("x", 1.5)], "name string, value double")
     assert connectors.from_json_column(connectors.to_json_column(df), "name string, value double").collect() == df.collect()
+
+
+def test_streaming_plans(spark, tmp_path):
+    """Disabled plans drop their input and keep their state; updates start anew."""
+    from rillcep.control import MetadataEvent, OperationEvent
+    from rillcep.streaming.plans import StreamingPlans
+
+    schema, source = "t long, k string, v double, i long", tmp_path / "in"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(source))
+
+    arrive((1000, "A", 1.0, 0))
+    env = CEPEnvironment(spark)
+    env.register_stream("S", spark.readStream.schema(schema).parquet(str(source)), "k", "v", ts="t", seq="i")
+    sink = lambda df, plan, at: df.writeStream.format("parquet").option("checkpointLocation", at).start(f"{tmp_path}/{plan}")
+    plans = StreamingPlans(env, "O", sink, str(tmp_path / "checkpoints"), reorder=False)
+    text = "from S select v, sum(v) as s insert into O"
+    plans.apply(MetadataEvent(0, added={"p": text}))
+    plans.process_all()
+    plans.apply(OperationEvent(2_000_000, action="disable", plan="p"))
+    arrive((3000, "A", 9.0, 1))
+    plans.apply(OperationEvent(4_000_000, action="enable", plan="p"))
+    arrive((5000, "A", 1.0, 2))
+    plans.process_all()
+    plans.stop()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/p").select("v", "s").collect()) == [(1.0, 1.0), (1.0, 2.0)]
