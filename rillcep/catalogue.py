@@ -204,7 +204,7 @@ add("pat_and", BYUSER.replace("{p}", "every a=E[event_type == 'click'] -> b=E[ev
 add("pat_or", BYUSER.replace("{p}", "every a=E[event_type == 'click'] -> b=E[event_type == 'purchase'] or c=E[event_type == 'view'] select a.event_id as a, b.event_id as b, c.event_id as c insert into O;"), f"SELECT event_id AS a, CASE WHEN c IS NULL OR b < c THEN b END AS b, CASE WHEN b IS NULL OR c < b THEN c END AS c FROM (SELECT event_id, event_type, {FIRST.replace('{t}', 'purchase')} AS b, {FIRST.replace('{t}', 'view')} AS c FROM e) WHERE event_type = 'click' AND (b IS NOT NULL OR c IS NOT NULL)")
 add("pat_absent_for", BYUSER.replace("{p}", "every a=E[event_type == 'click'] -> not E[event_type == 'purchase'] for 1 day select a.event_id as a insert into O;"), f"+ n AS (SELECT event_id, us, event_type, {FIRST.replace('{t}', 'purchase')} AS b FROM e) SELECT x.event_id AS a FROM n x LEFT JOIN e y ON x.b = y.event_id WHERE x.event_type = 'click' AND (y.us IS NULL OR y.us >= x.us + 86400000000)")
 add("pat_absent_and", BYUSER.replace("{p}", "every a=E[event_type == 'click'] -> not E[event_type == 'error'] and b=E[event_type == 'purchase'] select a.event_id as a, b.event_id as b insert into O;"), f"SELECT event_id AS a, b FROM (SELECT event_id, event_type, {FIRST.replace('{t}', 'purchase')} AS b, {FIRST.replace('{t}', 'error')} AS x FROM e) WHERE event_type = 'click' AND b IS NOT NULL AND (x IS NULL OR b < x)")
-add("pat_group_by", "from every a=Click[cents > 5000] -> b=Purchase[cents > 5000] select b.event_id as b, count() as n group by b.event_id insert into O", None)
+add("pat_group_by", "from every a=Click[cents > 5000] -> b=Purchase[cents > 5000] select b.event_id as b, count() as n group by b.event_id insert into O", f"+ n AS (SELECT event_id AS a, event_type, cents, first_value(CASE WHEN event_type = 'purchase' AND cents > 5000 THEN event_id END IGNORE NULLS) OVER ({G} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM e) SELECT b, row_number() OVER (PARTITION BY b ORDER BY a) AS n FROM n WHERE event_type = 'click' AND cents > 5000 AND b IS NOT NULL")
 
 # Sequences
 SEQ = f"lead(event_type) OVER ({U}) AS t1, lead(event_id) OVER ({U}) AS e1, lead(us) OVER ({U}) AS u1"
