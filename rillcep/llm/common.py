@@ -17,6 +17,7 @@ MASK64 = (1 << 64) - 1
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables. Texts are long, so Arrow batches to Python are made short."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

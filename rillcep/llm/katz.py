@@ -29,7 +29,7 @@ from rillcep.llm.common import arrow, discard, held_out, mix64, staged, sub_batc
 
 K_GT = 5
 #: Bytes of text in a block, and buckets of each exchange for each block.
-BLOCK, SPREAD = 16 << 20, 2
+BLOCK, SPREAD = 8 << 20, 3
 
 START = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 
