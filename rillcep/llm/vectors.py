@@ -1,14 +1,17 @@
-"""Embedding near-duplicates by a robust-pruned flat graph (Vamana: Subramanya et al., DiskANN, NeurIPS 2019).
-
-Vectors are clustered on a bounded sample and each goes to its OVERLAP nearest clusters. Each overlapping shard gets
-a graph by robust pruning; the adjacency lists of a vector are united over its shards; then every vector is searched
-in its shards, greedily from the shard's medoid and on through everything in range. Pairs are verified in double
-precision and counted in one shard only. A sample of searches is audited against all members of the shard; a shard
-whose audit misses a pair is searched wider, in the end exhaustively.
+"""Embedding near-duplicates: exact comparison in blocks, beside a robust-pruned flat graph (Vamana: Subramanya et al.,
+DiskANN, NeurIPS 2019) whose recall the audit reports.
+
+Vectors are clustered on a bounded sample, each in the cell of its nearest centroid. Every vector is compared in
+double precision with every vector of each cell that one within the threshold can lie in: a neighbour u at cosine t is
+at most sqrt(2 - 2t) away, so for v of cell a, u can lie in cell b only if v.(a - b) <= sqrt(2 - 2t) |a - b|. No pair is
+missed, however a dense group is split among cells. The vectors go past blocks of bounded size, a pass for each block.
+The graph decides nothing: the audit searches it in each cell and counts what it finds of the true pairs there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +20,10 @@ from pyspark.sql import functions as F
 from rillcep.llm.common import arrow, staged, table
 from rillcep.llm.graph import components
 
-#: Bounds: vectors the clustering sees, clusters, and vectors of one shard in a task (larger shards are cut into
-#: pieces, and each pair of pieces is searched).
+#: Bounds: vectors the clustering sees, clusters, and vectors of one graph of the audit (larger cells are cut).
 SAMPLE, CLUSTERS, PIECE = 20_000, 2048, 1000
-OVERLAP = 3
+#: Bytes of the vectors that a pass over all vectors compares them with, and vectors of a task multiplied at once.
+BLOCK, ROWS = 8 << 20, 256
 #: Graph: nearest and random candidates of a node, neighbours kept, and the pruning slack.
 NEAREST, RANDOM, DEGREE, ALPHA = 32, 12, 20, 1.2
 #: Search: beam width, and how far below the threshold the range search still expands.
@@ -175,84 +178,129 @@ def _assigner(middle: np.ndarray):
             if not batch.num_rows:
                 continue
             x = unit(batch.column("vector").to_pylist())
-            k = min(OVERLAP, len(middle))
-            near = np.sort(np.argpartition(-(x @ middle.T), k - 1, axis=1)[:, :k], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(list(near), pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64()))], ["rep", "copies", "shards", "vector"])
+            cell = np.argmax(x @ middle.T, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(cell), pa.array(list(x), pa.list_(pa.float64()))], ["rep", "copies", "cell", "vector"])
 
     return run
 
 
-def _shards(batches):
-    """Consecutive rows of one (shard, i, j)."""
-    key, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[:3] != key:
-                yield key, rows
-                rows = []
-            key = row[:3]
-            rows.append(row)
-    if rows:
-        yield key, rows
+def _matrix(batch) -> np.ndarray:
+    return batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-LISTS = pa.schema([("rep", pa.int64()), ("near", pa.list_(pa.int64()))])
+def _packed(batches):
+    """Columns of a batch as bytes, for the driver."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "copies", "cell")] + [_matrix(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["rep", "copies", "cell", "vector"])
+
+
+class Block:
+    """Vectors that all others are compared with."""
+
+    def __init__(self, reps: np.ndarray, copies: np.ndarray, cells: np.ndarray, x: np.ndarray, middle: np.ndarray, threshold: float):
+        by = np.lexsort((reps, cells))
+        self.reps, self.copies, self.cells, self.x = reps[by], copies[by], cells[by], x[by]
+        self.middle, self.threshold, self.apart = middle, threshold, float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+    def matches(self, x: np.ndarray, cells: np.ndarray):
+        """(rows, members) arrays of all pairs at the threshold, a few rows at a time."""
+        squares = (self.middle**2).sum(axis=1)
+        for lo in range(0, len(x), ROWS):
+            part, own = x[lo : lo + ROWS], cells[lo : lo + ROWS]
+            dots = part @ self.middle.T
+            between = np.sqrt(np.maximum(squares[own][:, None] + squares - 2 * (self.middle[own] @ self.middle.T), 0))
+            reach = dots[np.arange(len(part)), own][:, None] - dots <= self.apart * between + 1e-6
+            members = np.flatnonzero(reach.any(axis=0)[self.cells])
+            a, b = np.nonzero(part @ self.x[members].T >= self.threshold)
+            yield a + lo, members[b]
+
+    def label(self) -> None:
+        """root: of each member, the one of smallest rep that it is connected with inside the block."""
+        root, rank = np.arange(len(self.reps)), np.argsort(np.argsort(self.reps))
+        for a, b in self.matches(self.x, self.cells):
+            # Each row joins the components that its matches are in so far.
+            pairs = np.unique(a * len(root) + root[b])
+            for i, j in zip((pairs // len(root)).tolist(), (pairs % len(root)).tolist()):
+                i, j = root[i], root[j]
+                if i != j:
+                    i, j = (i, j) if rank[i] < rank[j] else (j, i)
+                    root[root == j] = i
+        self.root = root
+
+
+FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+
+def _matcher(block: Block):
+    """For each vector with matches in the block: their number, and an edge to each component of the block among them."""
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            reps, cells = batch.column("rep").to_numpy(), batch.column("cell").to_numpy()
+            for a, b in block.matches(_matrix(batch), cells):
+                if not len(a):
+                    continue
+                low, n = a[0], a[-1] + 1 - a[0]
+                other = reps[a] != block.reps[b]
+                links = np.bincount(a[other] - low, block.copies[b[other]], n).astype(np.int64)
+                edges = np.zeros((n, len(block.reps)), dtype=bool)
+                edges[a - low, block.root[b]] = True
+                row, root = np.nonzero(edges)
+                first = np.concatenate([[True], row[1:] != row[:-1]])
+                yield arrow(FOUND, [reps[row + low], np.where(first, links[row], 0), block.reps[root]])
 
-def _builder(batches):
-    for _, rows in _shards(batches):
-        reps, x = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        yield arrow(LISTS, [reps, [reps[a] for a in build(x)]])
+    return run
 
 
-FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("audited", pa.int64()), ("recalled", pa.int64())])
+def _graphs(threshold: float):
+    """Rows (cell, piece, vector) in order -> true pairs of audited members, those that the graph search finds."""
 
+    def count(rows):
+        x = np.array([r[2] for r in rows])
+        _, truth, first = audited(x, build(x), threshold)
+        return pa.RecordBatch.from_arrays([pa.array([truth]), pa.array([first])], ["audited", "recalled"])
 
-def _searcher(threshold: float):
     def run(batches):
-        for (shard, i, j), rows in _shards(batches):
-            reps, x, copies = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-            shards, pieces = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
-            place = {r: k for k, r in enumerate(reps.tolist())}
-            adjacency = [np.array([place[b] for b in r[8] or () if b in place], dtype=np.int64) for r in rows]
-            linked, truth, first = audited(x, adjacency, threshold)
-            links, root = np.zeros(len(reps), dtype=np.int64), reps.copy()
-            last = np.iinfo(np.int64).max
-            for lo in range(0, len(reps), 100):
-                part = slice(lo, lo + 100)
-                # A pair counts in the smallest shard that holds both, and between pieces only.
-                same = (shards[part, None, :, None] == shards[None, :, None, :]).any(axis=3)
-                own = linked[part] & (np.where(same, shards[part, None, :], last).min(axis=2) == shard)
-                own &= (pieces[part, None] != pieces[None, :]) | (i == j)
-                links[part] = own @ copies
-            while True:
-                low = np.concatenate([np.where(linked[lo : lo + 100], root, last).min(axis=1) for lo in range(0, len(reps), 100)])
-                low = np.minimum(low, root)
-                if (low == root).all():
-                    break
-                root = low
-            yield arrow(FOUND, [reps, links, root, [truth] + [0] * (len(reps) - 1), [first] + [0] * (len(reps) - 1)])
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[:2] != key:
+                    yield count(rows)
+                    rows = []
+                key = row[:2]
+                rows.append(row)
+        if rows:
+            yield count(rows)
 
     return run
 
 
-def _of_dimension(classes: DataFrame, threshold: float) -> DataFrame:
-    spark = classes.sparkSession
+def _of_dimension(classes: DataFrame, size: int, threshold: float) -> tuple[list[DataFrame], DataFrame]:
+    """(a table of matches for each block, audit)."""
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()["vector"]
     k = int(min(CLUSTERS, max(1, n // 800), len(sample)))
     middle = centroids(unit(list(sample)), k)
-    placed = staged(classes.mapInArrow(_assigner(middle), "rep long, copies long, shards array<long>, vector array<double>"), "placed")
-    dealt = placed.select("*", F.explode("shards").alias("shard"))
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    dealt = dealt.join(F.broadcast(sizes), "shard")  # CLUSTERS rows at most
-    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = dealt.select("shard", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "rep", "vector", "copies", "shards", "piece")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-k // 4))
-    sent = lambda d: d.repartition(parts, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "rep")
-    lists = sent(dealt.select("shard", "i", "j", "rep", "vector")).mapInArrow(_builder, "rep long, near array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    return sent(dealt.join(united, "rep", "left")).select("shard", "i", "j", "rep", "vector", "copies", "shards", "piece", "near").mapInArrow(_searcher(threshold), "rep long, links long, root long, audited long, recalled long")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = classes.mapInArrow(_assigner(middle), "rep long, copies long, cell long, vector array<double>")
+    placed = staged(placed.repartitionByRange(parts, "cell", "rep"), "placed")  # rows multiplied together share cells
+    passes, found = -(-n * size * 8 // BLOCK), []
+    for p in range(passes):
+        rows = placed.where(F.pmod(F.xxhash64("rep"), F.lit(passes)) == p).mapInArrow(_packed, "rep binary, copies binary, cell binary, vector binary").collect()
+        if not rows:
+            continue
+        reps, copies, cells = (np.concatenate([np.frombuffer(r[c], dtype=np.int64) for r in rows]) for c in range(3))
+        block = Block(reps, copies, cells, np.concatenate([np.frombuffer(r[3]) for r in rows]).reshape(-1, size), middle, threshold)
+        block.label()
+        found.append(staged(placed.mapInArrow(_matcher(block), "rep long, links long, root long"), "found"))
+    cut = placed.join(F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))), "cell")  # CLUSTERS rows at most
+    cut = cut.select("cell", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int").alias("piece"), "vector", "rep")
+    cut = cut.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "rep").select("cell", "piece", "vector")
+    return found, cut.mapInArrow(_graphs(threshold), "audited long, recalled long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
@@ -260,20 +308,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> tuple[DataFr
 
     result: vec_id, n_links, component_id, kept; one row for each input row. Null, empty and all-zero vectors and those
     with a null or non-finite component link with nothing, nor do vectors of different lengths with each other. Equal
-    vectors link. A row of a null vec_id links with nothing: component_id null, kept. audit: audited and recalled pairs
-    of the first search. An empty table gives an empty result; other columns are ignored."""
+    vectors link. A row of a null vec_id links with nothing: component_id null, kept. audit: true pairs of a sample in
+    their cells, and those that a graph search finds; it runs only when asked for. An empty table gives an empty result; other columns are ignored."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("vector", lambda c: c != 0)
     v = v.withColumn("fine", F.coalesce(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & fine, F.lit(False)))
     keyed = v.withColumn("class", F.when(F.col("fine"), F.sha2(F.array_join(F.transform("vector", lambda c: c.cast("string")), ",").cast("binary"), 256)))
     classes = keyed.where("fine").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = staged(classes, "vectors")
-    found = None
+    blocks, audits = [], []
     for size in sorted(r[0] for r in classes.select(F.size("vector")).distinct().collect()):
-        one = _of_dimension(classes.where(F.size("vector") == size).select("rep", "copies", "vector"), threshold)
-        found = one if found is None else found.unionByName(one)
-    found = found if found is not None else vectors.sparkSession.createDataFrame([], "rep long, links long, root long, audited long, recalled long")
-    found = staged(found, "found")
+        one, audit = _of_dimension(classes.where(F.size("vector") == size).select("rep", "copies", "vector"), size, threshold)
+        blocks += one
+        audits.append(audit)
+    spark = vectors.sparkSession
+    found = reduce(DataFrame.unionByName, blocks, spark.createDataFrame([], "rep long, links long, root long"))
+    audits = reduce(DataFrame.unionByName, audits, spark.createDataFrame([], "audited long, recalled long"))
     linked = components(found.selectExpr("rep as a", "root as b"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.select("class", "rep", "copies").join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
@@ -281,7 +331,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> tuple[DataFr
     out = keyed.select("vec_id", "class").join(named, "class", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     result = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
-    return result, found.agg(F.sum("audited").alias("audited"), F.sum("recalled").alias("recalled"))
+    return result, audits.agg(F.sum("audited").alias("audited"), F.sum("recalled").alias("recalled"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,23 @@ def test_against_brute_force(spark, monkeypatch, piece):
     assert found.recalled >= 0.9 * found.audited
 
 
+def test_hot_group_over_many_clusters(spark, monkeypatch):
+    """A third of the rows are distinct near copies, which noise splits among many of the centroids."""
+    monkeypatch.setattr(vectors, "BLOCK", 500_000, raising=False)
+    rng = np.random.default_rng(3)
+    n, d = 16_000, 16
+    x = rng.normal(size=(n, d))
+    x[::3] = rng.normal(size=d) + rng.normal(size=(len(x[::3]), d)) * 0.2
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = vectors.near_duplicates(df, 0.95)[0].toPandas().sort_values("vec_id")
+    u = vectors.unit(x)
+    want = np.concatenate([(u[i : i + 1000] @ u.T >= 0.95).sum(axis=1) - 1 for i in range(0, n, 1000)])
+    assert want[::3].mean() > 1000 and n // 800 > 3 * 3
+    assert got["n_links"].tolist() == want.tolist()
+    assert (got["component_id"].to_numpy()[::3][want[::3] > 0] == 0).all()
+
+
 def test_search_recall():
     """The graph search alone, without the exhaustive last resort."""
     rng = np.random.default_rng(2)
