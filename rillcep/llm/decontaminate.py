@@ -1,8 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-The items' word n-grams are counted in the corpus by document; the rarest half of each item's are its seeds. A seed
-in a document places a window around the item's diagonal, and a local alignment of words over that window gives the
-share of the item found there, so edited and reordered copies score too.
+Every pair of adjacent words of an item is a seed, however common. A seed in a document places a window around the
+item's diagonal, and a local alignment of words over that window gives the share of the item found there, so edited and
+reordered copies score too. Windows that hold too few of the item's words to reach the threshold are not aligned.
+
+An alignment of half the item's score with no seed would need an error between any two matched words. Replaced and lost
+words alone can't do that; a copy with a foreign word after each of its words can, and is missed.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ class Seeds:
     """Items as word numbers, and their n-grams as sorted codes."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int):
-        self.width, self.number = width, {}
+        self.width, self.number = min(width, 2), {}
         self.ids, self.tokens = [], []
         for item, text in items:
             w = words(text)
@@ -58,16 +61,6 @@ class Seeds:
             known &= part >= 0
         return np.where(known, out, -1)
 
-    def rarest(self, df: dict[int, int]) -> None:
-        """Keeps as seeds, for each item, the rarer half of its n-grams."""
-        kept = defaultdict(list)
-        for k, t in enumerate(self.tokens):
-            own = [(df.get(c, 0), i, c) for i, c in enumerate(self.codes(t).tolist())]
-            for _, i, c in sorted(own)[: (len(own) + 1) // 2]:
-                kept[c].append((k, i))
-        self.places = dict(kept)
-        self.sorted = np.array(sorted(kept), dtype=np.int64)
-
     def read(self, texts: list[str | None]):
         """(tokens of all texts with a gap of unknown words between, start of each, number of the text at each hit, hit positions, codes)."""
         number = _Numbers(self.number)
@@ -116,37 +109,51 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _counter(seeds: Seeds):
-    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in sub_batches(texts, 8 << 20):
-                _, _, doc, _, codes = seeds.read(texts[lo:hi])
-                pairs = np.unique(np.stack([codes, doc]), axis=1)[0] if len(codes) else codes
-                yield arrow(schema, list(np.unique(pairs, return_counts=True)))
-
-    return run
+def _enough(seeds: Seeds, flat: np.ndarray, first: np.ndarray, last: np.ndarray, item: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the words first to last of each window hold as many words of its item as the threshold needs."""
+    base = len(seeds.number) + 1
+    known = np.unique(np.concatenate([k * base + t for k, t in enumerate(seeds.tokens)]))
+    sizes = np.array([len(t) for t in seeds.tokens])
+    out = np.zeros(len(first), dtype=bool)
+    for lo in range(0, len(first), 2048):
+        a, b, k = first[lo : lo + 2048, None], last[lo : lo + 2048, None], item[lo : lo + 2048]
+        at = a + np.arange((b - a).max())
+        word = np.where(at < b, flat[np.minimum(at, len(flat) - 1)], -1)
+        code = k[:, None] * base + word
+        found = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+        out[lo : lo + 2048] = (found & (word >= 0)).sum(axis=1) >= threshold * sizes[k]
+    return out
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_seeds", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
 def _aligner(seeds: Seeds, threshold: float):
+    sizes = np.array([len(t) for t in seeds.tokens], dtype=np.int64)
+    listed = [t.tolist() for t in seeds.tokens]
+
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in sub_batches(texts, 8 << 20):
                 flat, starts, doc, at, codes = seeds.read(texts[lo:hi])
+                which = [np.array([k for k, _ in seeds.places[c]]) for c in codes.tolist()]
+                many = np.array([len(w) for w in which], dtype=np.int64)
+                item = np.concatenate([*which, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+                place = np.array([i for c in codes.tolist() for _, i in seeds.places[c]], dtype=np.int64)
+                doc, at = np.repeat(doc, many), np.repeat(at, many)
+                long = sizes[item]
+                # All that an alignment through the seed can cover: it has at most 2 (1 - threshold) errors a word.
+                most = np.ceil(2 * (1 - threshold) * long).astype(np.int64)
+                wide = (np.maximum(starts[doc], at - place - most), np.minimum(starts[doc + 1] - 1, at - place + long + most))
+                keep = np.flatnonzero(_enough(seeds, flat, *wide, item, threshold))
                 hits = defaultdict(list)
-                for d, p, c in zip(doc.tolist(), at.tolist(), codes.tolist()):
-                    for k, i in seeds.places[c]:
-                        hits[d, k].append((p - i, p))
+                for d, k, p, i in zip(doc[keep].tolist(), item[keep].tolist(), at[keep].tolist(), place[keep].tolist()):
+                    hits[d, k].append((p - i, p))
                 keys, items, windows, spans = [], [], [], []
                 for (d, k), found in hits.items():
                     size = len(seeds.tokens[k])
-                    slack = size // 2 + 4
+                    slack = max(size // 2 + 4, int(np.ceil(2 * (1 - threshold) * size)))
                     first, last = starts[d], starts[d + 1] - 1
                     # Hits whose windows overlap are one window; it grows with the copies that it holds.
                     regions: list[list[int]] = []
@@ -158,6 +165,9 @@ def _aligner(seeds: Seeds, threshold: float):
                         else:
                             regions.append([a, b, 1])
                     for a, b, n in regions:
+                        there = set(flat[a:b].tolist())
+                        if sum(w in there for w in listed[k]) < threshold * size:
+                            continue
                         keys.append((d, k)), items.append(seeds.tokens[k]), windows.append(flat[a:b]), spans.append((n, a - first, b - first))
                 scores = align(items, windows) if items else []
                 best: dict[tuple[int, int], tuple] = {}
@@ -183,11 +193,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     for k in range(passes):
         items = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
         seeds = Seeds([tuple(r) for r in items], width)
-        counts = docs.select("text").mapInArrow(_counter(seeds), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        seeds.rarest({r.code: r.n for r in counts.collect()})
+        if not seeds.tokens:
+            continue
         found = docs.mapInArrow(_aligner(seeds, threshold), "doc_id long, item_id long, score double, n_seeds long, start long, stop long")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long, start long, stop long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

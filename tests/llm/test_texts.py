@@ -109,6 +109,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, rows), extra.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_decontamination_of_regular_edits(spark, exact):
+    """Every third, fourth or fifth word replaced; an exact copy elsewhere makes the intact n-grams more common."""
+    items, rows = [], []
+    for i, (step, size) in enumerate((step, size) for step in (3, 4, 5) for size in (24, 40)):
+        words = [f"w{i}x{j}" for j in range(size)]
+        items.append((i, " ".join(words)))
+        edited = ["other" if j % step == step - 1 else w for j, w in enumerate(words)]
+        rows.append((i, prose(30, i) + " " + " ".join(edited) + " " + prose(30, i + 50)))
+        rows += [(100 + i, " ".join(words))] if exact else []
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, d % 100) for d, _ in rows}
+
+
 def test_decontamination_in_passes(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(25, 700 + i)) for i in range(8)], "item_id long, text string")
     docs = frame(spark, [(i, prose(20, i) + " " + prose(25, 700 + i)) for i in range(8)])
