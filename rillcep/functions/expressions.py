@@ -219,6 +219,35 @@ def over_frame(name: str, cols: list[Column], types: list[str], bind=lambda c: c
     return bind(plain[name](x))
 
 
+def over_parts(name: str, cols: list[Column], types: list[str], older, peers) -> Column:
+    """A built-in aggregate of a window given in two disjoint parts, each bound by a function of its own."""
+    if name == "count":
+        return F.coalesce(older(F.count(F.lit(1))), F.lit(0)) + peers(F.count(F.lit(1)))
+    if not cols:
+        raise AnalysisError(f"{name}() needs an argument")
+    x, t = cols[0], result_type(name, types)
+    if name in ("sum", "avg", "stdDev"):
+        wider(types[0], types[0])
+        x = x.cast("double") if t == "double" else x
+        sums, counts = [b(F.sum(x)) for b in (older, peers)], [F.coalesce(b(F.count(x)), F.lit(0)) for b in (older, peers)]
+        total = F.coalesce(sums[0] + sums[1], *sums)
+        if name == "sum":
+            return total.cast(SPARK[t])
+        n = counts[0] + counts[1]
+        if name == "avg":
+            return F.try_divide(total, n)
+        spread = [F.coalesce(b(F.var_pop(x)), F.lit(0.0)) for b in (older, peers)]
+        apart = F.coalesce(F.try_divide(sums[0], counts[0]) - F.try_divide(sums[1], counts[1]), F.lit(0.0))
+        return F.sqrt(F.try_divide(spread[0] * counts[0] + spread[1] * counts[1] + apart * apart * F.try_divide(counts[0] * counts[1], n), n))
+    if name == "distinctCount":
+        return F.size(F.array_union(older(F.collect_set(x)), peers(F.collect_set(x)))).cast("long")
+    if name == "unionSet":
+        return F.array_distinct(F.flatten(F.concat(older(F.collect_list(x)), peers(F.collect_list(x)))))
+    a, b = (over_frame(name, cols, types, bind) for bind in (older, peers))
+    merge = {"min": F.least, "max": F.greatest, "and": lambda a, b: F.coalesce(a & b, a, b), "or": lambda a, b: F.coalesce(a | b, a, b)}[name]
+    return merge(a, b)
+
+
 def over_array(name: str, values: Column, types: list[str]) -> Column:
     """A built-in aggregate of an array of its argument's values."""
     held = F.filter(values, lambda v: v.isNotNull())

@@ -1,8 +1,9 @@
 """Windowed joins triggered by arrivals.
 
 An arrival on one side meets what the other side's window holds then. Each side's half (its arrivals against the
-kept events of the other) is one join: on the equality conjuncts where there are any; else on buckets of time (kept
-for a span) or on places in the stream (kept by count), so that no half is ever a product of both streams.
+kept events of the other) is one join: on the equality conjuncts where there are any, and on buckets of time where events
+are kept for a span, so that a hot key meets the events of its span alone; else on places in the stream (kept by
+count). No half is ever a product of both streams.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillcep.errors import AnalysisError
+from rillcep.operators.windows import accumulated
 from rillcep.schema import SEQ, US, col
 
 
@@ -45,8 +47,14 @@ def with_end(side: Side) -> Side:
     """Adds the order at which each event leaves its window (null: never)."""
     df, keep = side.df, side.keep
     if keep and keep[0] == "length":
-        spec = W.partitionBy(*(side.c(k) for k in side.keys)).orderBy(side.c(US), side.c(SEQ))
-        df = df.withColumns({f"{side.prefix}__dead_us": F.lead(side.c(US), keep[1]).over(spec), f"{side.prefix}__dead_seq": F.lead(side.c(SEQ), keep[1]).over(spec), f"{side.prefix}__rn": F.row_number().over(spec).cast("long")})
+        p, keys = side.prefix, [f"{side.prefix}{k}" for k in side.keys]
+        df = accumulated(df, F.lit(1), keys, f"{p}__rn", (f"{p}{US}", f"{p}{SEQ}"))
+        if keys:
+            spec = W.partitionBy(*map(col, keys)).orderBy(f"{p}__rn")
+            df = df.withColumns({f"{p}__dead_us": F.lead(side.c(US), keep[1]).over(spec), f"{p}__dead_seq": F.lead(side.c(SEQ), keep[1]).over(spec)})
+        else:
+            gone = df.select((col(f"{p}__rn") - keep[1]).alias("__was"), side.c(US).alias(f"{p}__dead_us"), side.c(SEQ).alias(f"{p}__dead_seq"))
+            df = df.join(gone, col(f"{p}__rn") == F.col("__was"), "left").drop("__was")
     return Side(df, side.prefix, side.place, keep, side.keys)
 
 
@@ -75,13 +83,13 @@ def half(trigger: Side, kept: Side, equal: list[tuple[Column, Column]], rest: Co
         condition = condition & k
     if rest is not None:
         condition = condition & rest
-    if equal or trigger.keys or kept.keep[0] in ("all", "versions"):
-        return trigger.df.join(kept.df, condition, how)
     if kept.keep[0] == "time":
         span = kept.keep[1]
         near = kept.df.withColumn("__bucket", F.explode(F.array(*(F.floor(kept.c(US) / span) + i for i in (0, 1)))))
         far = trigger.df.withColumn("__own", F.floor(trigger.c(US) / span))
         return far.join(near, (far["__own"] == near["__bucket"]) & condition, how).drop("__bucket", "__own")
+    if equal or trigger.keys or kept.keep[0] in ("all", "versions"):
+        return trigger.df.join(kept.df, condition, how)
     n = kept.keep[1]
     return _by_place(trigger, kept, n, rest, outer)
 
@@ -91,8 +99,7 @@ def _by_place(trigger: Side, kept: Side, n: int, rest: Column | None, outer: boo
     marks = kept.df.select(kept.c(US).alias("__u"), kept.c(SEQ).alias("__s"), F.lit(kept.place).alias("__p"), F.lit(1).alias("__one"), F.lit(None).cast("struct<x:int>").alias("__row"))
     rows = trigger.df.select(trigger.c(US).alias("__u"), trigger.c(SEQ).alias("__s"), F.lit(trigger.place).alias("__p"), F.lit(0).alias("__one"), F.struct(*map(col, trigger.df.columns)).alias("__row"))
     both = marks.drop("__row").unionByName(rows, allowMissingColumns=True)
-    count = F.sum("__one").over(W.orderBy("__u", "__s", "__p").rowsBetween(W.unboundedPreceding, 0))
-    probes = both.withColumn("__count", count).where("__one = 0").select("__row.*", F.explode(F.sequence(F.col("__count") - n + 1, F.col("__count"))).alias("__at"))
+    probes = accumulated(both, F.col("__one"), [], "__count", ("__u", "__s", "__p")).where("__one = 0").select("__row.*", F.explode(F.sequence(F.col("__count") - n + 1, F.col("__count"))).alias("__at"))
     condition = (F.col("__at") == kept.c("__rn")) & (rest if rest is not None else F.lit(True))
     found = probes.join(kept.df, condition, "inner").drop("__at")
     if not outer:

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillcep.errors import AnalysisError
-from rillcep.functions.expressions import Scope, compile_, is_aggregate, over_array, over_frame, result_type, variables, walk
+from rillcep.functions.expressions import Scope, compile_, is_aggregate, over_array, over_frame, over_parts, result_type, variables, walk
 from rillcep.lang import ast
-from rillcep.operators.windows import Win, running
+from rillcep.operators.windows import HALO, SLICE, Win, numbered, running, whole
 from rillcep.schema import SEQ, US, col
 from rillcep.types import SPARK
 
@@ -84,13 +84,32 @@ def apply(select: ast.Select, rel: Rel, kind: str = "current") -> tuple[DataFram
     if win.kind == "batch":
         return _batched(select, rel, win, aggregates, groups)
     df = rel.df
-    spec = win.frame(groups) if win.frame else None
+    sliced = win.sliced is not None and aggregates and not groups and not any(a.name.endswith("Forever") for a in aggregates)
+    df, inside = (win.sliced(df), [F.col(SLICE)]) if sliced else (df, groups)
+    spec = win.frame(inside) if win.frame and win.kind != "time" else None
+    if win.kind == "time" and any(rel.scope.extensions.find(a.full, "aggregator") for a in aggregates):
+        name, place, spec = win.frame(inside)
+        df = df.withColumn(name, place)
     forever = running(rel.keys).frame(groups)
+    firsts: dict[ast.Call, str] = {}
+    if win.kind == "running":  # a distinct count so far is the number of first occurrences so far, not a set for each row
+        for call in aggregates:
+            if call.name == "distinctCount" and call.args and rel.scope.extensions.find(call.full, "aggregator") is None:
+                value, firsts[call] = _arguments(call, rel.scope)[0][0], f"__first{len(firsts)}"
+                nth = F.row_number().over(W.partitionBy(*map(col, rel.keys), *groups, value).orderBy(US, SEQ))
+                df = df.withColumn(firsts[call], ((nth == 1) & value.isNotNull()).cast("long"))
     names = [f"__g{i}" for i in range(len(groups))]
 
     def bound(call: ast.Call):
         if win.kind == "array" and call.name not in ("maxForever", "minForever"):
             return _over_content(call, rel, win, select.group_by)
+        if call in firsts:
+            return F.sum(firsts[call]).over(spec), "long"
+        if win.kind == "time" and not call.name.endswith("Forever") and rel.scope.extensions.find(call.full, "aggregator") is None:
+            cols, types = _arguments(call, rel.scope)
+            older, peers = win.parts(inside)
+            made = over_parts(call.name, cols, types, lambda c: c.over(older), lambda c: c.over(peers))
+            return made, result_type(call.name, types) if types else "long"
         frame = forever if call.name.endswith("Forever") else spec
         return _aggregate(call, rel, lambda c: c.over(frame))
 
@@ -98,7 +117,9 @@ def apply(select: ast.Select, rel: Rel, kind: str = "current") -> tuple[DataFram
     items = [(_typed(e, n, rel, scope), n) for e, n in _items(select, rel)]
     types = {n: t for (_, t), n in items}
     having = _having(select, scope, types)
-    out = df.select(*(c.alias(n) for (c, _), n in items), US, SEQ, *rel.keys, *(g.alias(n) for g, n in zip(groups, names)), *([having.alias("__having")] if having is not None else []))
+    out = df.select(*(c.alias(n) for (c, _), n in items), US, SEQ, *rel.keys, *(g.alias(n) for g, n in zip(groups, names)), *([having.alias("__having")] if having is not None else []), *([HALO] if sliced else []))
+    if sliced:
+        out = out.where(f"not {HALO}").drop(HALO)
     if having is not None:
         out = out.where("__having").drop("__having")
     if select.limit is not None or select.offset is not None:  # every event is a chunk of its own
@@ -184,8 +205,7 @@ def limited(df: DataFrame, rate: ast.Rate, keys: list[str], groups: list[str]) -
     by = [*keys, *groups]
     part = W.partitionBy(*map(col, by))
     if rate.events:
-        whole = W.partitionBy(*map(col, keys if rate.kind == "all" else by))
-        df = df.withColumn("__nth", F.row_number().over(whole.orderBy(US, SEQ)) - 1)
+        df = numbered(df, keys if rate.kind == "all" else by, "__nth").withColumn("__nth", F.col("__nth") - 1)
         df = df.withColumn("__slot", F.floor(F.col("__nth") / rate.events))
         if rate.kind == "first":
             return df.where(F.col("__nth") % rate.events == 0).drop("__nth", "__slot")
@@ -194,7 +214,7 @@ def limited(df: DataFrame, rate: ast.Rate, keys: list[str], groups: list[str]) -
         slot = W.partitionBy(*map(col, keys), "__slot")
         df = df.withColumns({"__n": F.count(F.lit(1)).over(slot), "__at": F.max(US).over(slot)}).where(F.col("__n") == rate.events)
         return df.withColumn(US, F.col("__at")).drop("__nth", "__slot", "__n", "__at")
-    df = df.withColumn("__from", F.min(US).over(W.partitionBy(*map(col, keys))))
+    df = df.withColumn("__from", whole(df, F.min(US), keys))
     df = df.withColumn("__slot", F.floor((F.col(US) - F.col("__from")) / rate.time))
     end = F.col("__from") + (F.col("__slot") + 1) * rate.time
     if rate.kind == "all":
@@ -206,7 +226,7 @@ def limited(df: DataFrame, rate: ast.Rate, keys: list[str], groups: list[str]) -
     df = df.withColumn("__nth", F.row_number().over(slot.orderBy(F.desc(US), F.desc(SEQ)))).where(F.col("__nth") == 1).drop("__nth")
     if rate.kind == "last":
         return df.withColumn(US, end).drop("__slot", "__from")
-    final = F.max("__slot").over(W.partitionBy(*map(col, keys)))
+    final = whole(df, F.max("__slot"), keys)
     until = F.coalesce(F.lead("__slot").over(part.orderBy("__slot")) - 1, F.col("__final"))
     df = df.withColumn("__final", final)
     df = df.withColumn("__until", until).withColumn("__slot", F.explode(F.sequence("__slot", "__until"))).drop("__until")

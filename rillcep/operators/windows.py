@@ -21,14 +21,13 @@ from rillcep.lang import ast
 from rillcep.operators import folds
 from rillcep.schema import SEQ, US, col
 
-#: Events of one key and microsecond that sliding time windows tell apart.
-TIES = 1024
-
 
 @dataclass(frozen=True)
 class Win:
-    kind: str  # running, frame, array, batch, shift
+    kind: str  # running, frame, time, array, batch, shift
     frame: Callable | None = None  # group columns -> WindowSpec
+    parts: Callable | None = None  # group columns -> (WindowSpec of the older events, of those of the same time so far)
+    sliced: Callable | None = None  # df -> df dealt to slices (SLICE) that hold their events' windows; copies are HALO
     content: str | None = None  # array column
     batch: str | None = None  # batch number column
     expire: Callable | None = None  # df -> df of expired events, at the time they leave
@@ -38,6 +37,43 @@ def ordered(keys: list[str]):
     return W.partitionBy(*map(col, keys)).orderBy(US, SEQ)
 
 
+#: One order over all events is dealt to slices: by quantiles of the time for counting, by places or time for windows.
+SLICES, SLICE_ROWS, SLICE_SPANS = 200, 1 << 16, 4
+SLICE, HALO = "__slice", "__halo"
+
+
+def whole(df: DataFrame, value: Column, keys: list[str]) -> Column:
+    """An aggregate over the partition of each event; without keys one value, by a scalar subquery."""
+    return value.over(W.partitionBy(*map(col, keys))) if keys else df.select(value).scalar()
+
+
+def accumulated(df: DataFrame, value: Column, keys: list[str], name: str, order: tuple[str, ...] = (US, SEQ)) -> DataFrame:
+    """Adds the running sum (long) of value in order, the event itself included.
+
+    Without keys the order is one for all events, but no task takes them all: events are dealt by quantiles of the
+    time, summed in their slices, and the sums of the slices before (SLICES rows at most) are added."""
+    if keys:
+        return df.withColumn(name, F.sum(value).over(W.partitionBy(*map(col, keys)).orderBy(*map(col, order)).rowsBetween(W.unboundedPreceding, 0)).cast("long"))
+    bounds = df.select(F.percentile_approx(col(order[0]), [i / SLICES for i in range(1, SLICES)], 2000)).scalar()
+    df = df.withColumn("__bounds", bounds).withColumn(SLICE, F.size(F.filter("__bounds", lambda b: b < col(order[0])))).drop("__bounds")
+    sums = df.groupBy(SLICE).agg(F.sum(value).alias("__before"))
+    before = F.coalesce(F.sum("__before").over(W.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    df = df.join(F.broadcast(sums.select(F.col(SLICE).alias("__of"), before.alias("__before"))), F.col(SLICE) == F.col("__of"))
+    inside = F.sum(value).over(W.partitionBy(SLICE).orderBy(*map(col, order)).rowsBetween(W.unboundedPreceding, 0))
+    return df.withColumn(name, (F.col("__before") + inside).cast("long")).drop(SLICE, "__of", "__before")
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds each event's place in the order, from 1."""
+    return accumulated(df, F.lit(1), keys, name)
+
+
+def _dealt(df: DataFrame, at: Column, reach: Column) -> DataFrame:
+    """Events in their slice `at`, and once more as a copy in the next where they reach into it."""
+    nth = F.explode(F.when(reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return df.withColumn(SLICE, at).withColumn("__copy", nth).withColumn(SLICE, F.col(SLICE) + F.col("__copy")).withColumn(HALO, F.col("__copy") > 0).drop("__copy")
+
+
 def running(keys: list[str]) -> Win:
     return Win("running", lambda groups: W.partitionBy(*map(col, keys), *groups).orderBy(US, SEQ).rowsBetween(W.unboundedPreceding, 0))
 
@@ -64,13 +100,28 @@ def attribute(arg) -> str:
 
 
 def _sliding_time(df: DataFrame, time: Column, span: int, keys: list[str]) -> tuple[DataFrame, Win]:
-    """Events no older than span, later ones of equal time excluded: times get room for ties, so one range says both."""
-    by = W.partitionBy(*map(col, keys))
-    tie = F.row_number().over(by.orderBy(time, US, SEQ)) - F.rank().over(by.orderBy(time))
-    df = df.withColumn("__at", time * (2 * TIES) + tie)
-    reach = span * 2 * TIES - TIES
-    frame = lambda groups: W.partitionBy(*map(col, keys), *groups).orderBy("__at").rangeBetween(-reach, 0)
-    return df, Win("frame", frame, expire=lambda d: d.withColumn(US, F.col(US) + span))
+    """Events no older than span, later ones of equal time excluded, however many share a time.
+
+    `parts` says so in two frames over one sort: a range of time that ends before the event's own, and the events of
+    its time so far. `frame` says it in one, for aggregates that can't be put together from parts: a decimal number
+    holds the time and, behind the point, the place among ties."""
+    df = df.withColumn("__time", time)
+    by = lambda groups: W.partitionBy(*map(col, keys), *groups)
+
+    def frame(groups):
+        tie = F.row_number().over(by([]).orderBy("__time", US, SEQ)) - F.rank().over(by([]).orderBy("__time"))
+        at = F.col("__time").cast("decimal(38,10)") * 2 + tie.cast("decimal(38,10)") / F.lit(10**10).cast("decimal(11,0)")
+        return "__at", at.cast("decimal(38,10)"), by(groups).orderBy("__at").rangeBetween(1 - 2 * span, 0)
+
+    def parts(groups):
+        older = by(groups).orderBy("__time").rangeBetween(1 - span, -1)
+        return older, by([*groups, F.col("__time")]).orderBy(US, SEQ).rowsBetween(W.unboundedPreceding, 0)
+
+    def sliced(d):
+        size = SLICE_SPANS * span
+        return _dealt(d, F.floor(F.col("__time") / size), F.pmod(F.col("__time"), F.lit(size)) > size - span)
+
+    return df, Win("time", frame, parts=parts, sliced=None if keys else sliced, expire=lambda d: d.withColumn(US, F.col(US) + span))
 
 
 def cron_period(text: str) -> int:
@@ -94,16 +145,25 @@ def cron_period(text: str) -> int:
 def attach(df: DataFrame, call: ast.Call, keys: list[str], attributes: dict[str, str], extensions: Registry) -> tuple[DataFrame, Win]:
     """Adds what a window needs to the stream's events."""
     name, args = call.full, call.args
-    place = F.row_number().over(ordered(keys)).cast("long")
     if name == "length":
         n = count_of(args[0])
 
         def leave(d):
-            later = [F.lead(c, n).over(ordered(keys)).alias(c) for c in (US, SEQ)]
-            return d.select(*(col(c) for c in d.columns if c not in (US, SEQ)), *later).where(F.col(US).isNotNull())
-
-        df = df.withColumn("__rn", place)
-        return df, Win("frame", lambda groups: W.partitionBy(*map(col, keys), *groups).orderBy("__rn").rangeBetween(-(n - 1), 0), expire=leave)
+            d = numbered(d.drop("__rn"), keys, "__rn")
+            later = d.select((F.col("__rn") - n).alias("__was"), *(col(k).alias(f"__was{k}") for k in keys), *(col(c).alias(f"__then{c}") for c in (US, SEQ)))
+            on = F.col("__rn") == F.col("__was")
+            for k in keys:
+                on = on & col(k).eqNullSafe(col(f"__was{k}"))
+            d = d.join(later, on)
+            return d.select(*(col(c) for c in d.columns if c not in (US, SEQ) and not c.startswith(("__was", "__then"))), *(col(f"__then{c}").alias(c) for c in (US, SEQ)))
+
+        def sliced(d):
+            size = max(n, SLICE_ROWS)
+            return _dealt(d, F.floor((F.col("__rn") - 1) / size), F.pmod(F.col("__rn") - 1, F.lit(size)) > size - n)
+
+        df = numbered(df, keys, "__rn")
+        frame = lambda groups: W.partitionBy(*map(col, keys), *groups).orderBy("__rn").rangeBetween(-(n - 1), 0)
+        return df, Win("frame", frame, sliced=None if keys else sliced, expire=leave)
     if name == "time":
         return _sliding_time(df, F.col(US), micros(args[0]), keys)
     if name == "externalTime":
@@ -115,7 +175,7 @@ def attach(df: DataFrame, call: ast.Call, keys: list[str], attributes: dict[str,
         return df, Win("array", content="__held")
     if name == "lengthBatch":
         n = count_of(args[0])
-        df = df.withColumn("__batch", F.floor((place - 1) / n))
+        df = numbered(df, keys, "__batch").withColumn("__batch", F.floor((F.col("__batch") - 1) / n))
         by = W.partitionBy(*map(col, keys), "__batch")
         df = df.withColumns({"__n": F.count(F.lit(1)).over(by), "__end": F.max(US).over(by)}).where(F.col("__n") == n)
         return df, Win("batch", batch="__batch")
@@ -125,7 +185,7 @@ def attach(df: DataFrame, call: ast.Call, keys: list[str], attributes: dict[str,
         rest = args[1:] if external else args
         span = micros(rest[0])
         # The first event sets the origin, unless a start is given.
-        origin = F.lit(micros(rest[1])) if len(rest) > 1 else F.min(time).over(W.partitionBy(*map(col, keys)))
+        origin = F.lit(micros(rest[1])) if len(rest) > 1 else whole(df, F.min(time), keys)
         df = df.withColumn("__origin", origin).withColumn("__batch", F.floor((time - F.col("__origin")) / span))
         return df.withColumn("__end", F.col("__origin") + (F.col("__batch") + 1) * span), Win("batch", batch="__batch")
     if name == "session":

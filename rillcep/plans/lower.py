@@ -110,13 +110,16 @@ class Lowering:
             raise AnalysisError("a trigger needs registered streams")
         spans = spans.agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a is not null")
         if d.every:
-            ticks = F.explode(F.sequence("a", "b", F.lit(d.every)))
+            # In two steps, so that the ticks of a long time are made by many tasks and never in one row.
+            spans = spans.select(F.explode(F.sequence("a", "b", F.lit(d.every * 1000))).alias("a"), "b").repartition("a")
+            ticks = F.explode(F.sequence("a", F.least(F.col("a") + d.every * 999, "b"), F.lit(d.every)))
         elif d.at == "start":
             ticks = F.col("a")
         else:
             span = windows.cron_period(d.at)
             first = F.ceil(F.col("a") / span) * span
-            ticks = F.explode(F.when(first <= F.col("b"), F.sequence(first, F.col("b"), F.lit(span))))
+            spans = spans.select(F.explode(F.when(first <= F.col("b"), F.sequence(first, F.col("b"), F.lit(span * 1000)))).alias("a"), "b").repartition("a")
+            ticks = F.explode(F.sequence("a", F.least(F.col("a") + span * 999, "b"), F.lit(span)))
         df = spans.select(ticks.alias(US)).select(F.floor(F.col(US) / 1000).cast("long").alias("triggered_time"), US, F.lit(0).cast("long").alias(SEQ))
         return Stream(df, {"triggered_time": "long"}, len(self.streams))
 
@@ -352,18 +355,21 @@ class Lowering:
             names.setdefault(single.stream, (prefix, attributes))
             sides.append(side)
 
-        def resolve(v: ast.Var):
+        def side_of(v: ast.Var):
             near = [names[v.stream]] if v.stream in names else [n for k, n in names.items() if v.stream is None and v.name in n[1]]
             near = list({n[0]: n for n in near}.values())
             if len(near) != 1 or v.name not in near[0][1]:
                 raise AnalysisError(f"{v.stream + '.' if v.stream else ''}{v.name} isn't of one side of the join")
-            prefix, attributes = near[0]
+            return near[0]
+
+        def resolve(v: ast.Var):
+            prefix, attributes = side_of(v)
             return col(f"{prefix}{v.name}"), attributes[v.name]
 
         scope = Scope(resolve, self.extensions, F.col(US))
         equal, rest = [], None
         for c in conjuncts(j.on):
-            pair = self._equality(c, names, scope)
+            pair = self._equality(c, side_of, scope)
             if pair is not None:
                 equal.append(pair)
             else:
@@ -395,12 +401,12 @@ class Lowering:
         always = {US: F.lit(-(1 << 62)), SEQ: F.lit(0).cast("long"), **{c: F.lit(None).cast("long") for c in tables.FROM_TO}}
         return Stream(df.withColumns(always), attributes)
 
-    def _equality(self, c, names, scope: Scope) -> tuple[Column, Column] | None:
+    def _equality(self, c, side_of, scope: Scope) -> tuple[Column, Column] | None:
         if not (isinstance(c, ast.Binary) and c.op == "=="):
             return None
         places = []
         for side in (c.left, c.right):
-            own = {("__l_" if str(scope.resolve(v)[0]._jc.toString()).startswith("__l_") else "__r_") for v in variables(side)}
+            own = {side_of(v)[0] for v in variables(side)}
             if len(own) != 1:
                 return None
             places.append(own.pop())
