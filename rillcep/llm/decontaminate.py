@@ -1,17 +1,17 @@
 """Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Every pair of adjacent words of an item is a seed, however common. A seed in a document places a window around the
-item's diagonal, and a local alignment of words over that window gives the share of the item found there, so edited and
-reordered copies score too. Windows that hold too few of the item's words to reach the threshold are not aligned.
-
-An alignment of half the item's score with no seed would need an error between any two matched words. Replaced and lost
-words alone can't do that; a copy with a foreign word after each of its words can, and is missed.
+Every pair of adjacent words of an item is a seed, however common; a document holds it where the two words are adjacent
+or have one word between them. A seed in a document places a window around the item's diagonal, and a local alignment of
+words over that window gives the share of the item found there, so edited and reordered copies score too. Windows that
+hold too few of the item's words to reach the threshold are not aligned.
+
+No alignment of half the item's score lacks a seed, in items of four words or more: without one, between any two matched
+words lie either a lost or replaced word of the item, so that at most every other word matches, for less than half the
+score, or two foreign words, whose errors take back all that a match gives.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,53 +32,47 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Seeds:
-    """Items as word numbers, and their n-grams as sorted codes."""
+    """Items of at least two words (or `width`) as word numbers, and their pairs of adjacent words as sorted codes."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int):
-        self.width, self.number = min(width, 2), {}
+        self.number = {}
         self.ids, self.tokens = [], []
         for item, text in items:
             w = words(text)
-            if len(w) >= width:
+            if len(w) >= max(2, width):
                 self.ids.append(item)
                 self.tokens.append(np.array([self.number.setdefault(x, len(self.number)) for x in w], dtype=np.int64))
-        places = defaultdict(list)
-        for k, t in enumerate(self.tokens):
-            for i, code in enumerate(self.codes(t).tolist()):
-                places[code].append((k, i))
-        self.places = dict(places)
-        self.sorted = np.array(sorted(places), dtype=np.int64)
-
-    def codes(self, tokens: np.ndarray) -> np.ndarray:
-        """A code for each n-gram, -1 where a word is unknown."""
-        n, base = len(tokens) - self.width + 1, len(self.number) + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.int64)
-        out, known = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-        for j in range(self.width):
-            part = tokens[j : j + n]
-            out = out * base + part
-            known &= part >= 0
-        return np.where(known, out, -1)
+        self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        grams = [t[:-1] * (len(self.number) + 1) + t[1:] for t in self.tokens]
+        code = np.concatenate([*grams, np.zeros(0, dtype=np.int64)])
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, dtype=np.int64)]).astype(np.int64)
+        by = np.argsort(code, kind="stable")
+        self.item, self.place = item[by], place[by]
+        self.sorted, self.first, self.times = np.unique(code[by], return_index=True, return_counts=True)
 
     def read(self, texts: list[str | None]):
-        """(tokens of all texts with a gap of unknown words between, start of each, number of the text at each hit, hit positions, codes)."""
+        """(tokens of all texts with a gap of unknown words between, start and end of each, and for each hit: text, position, item, place there)."""
         number = _Numbers(self.number)
         split = [words(t) for t in texts]
         sizes = np.array([len(s) for s in split], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-        flat = np.full(starts[-1], -1, dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes + 2)])
+        flat = np.full(starts[-1], -1, dtype=np.int32)
         for s, w in zip(starts, split):
-            flat[s : s + len(w)] = np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w))
-        codes = self.codes(flat)
-        at = np.flatnonzero(codes >= 0)
-        if len(self.sorted) and len(at):
-            found = np.searchsorted(self.sorted, codes[at])
-            found[found == len(self.sorted)] = 0
-            at = at[self.sorted[found] == codes[at]]
-        else:
-            at = at[:0]
-        return flat, starts, np.searchsorted(starts, at, side="right") - 1, at, codes[at]
+            flat[s : s + len(w)] = np.fromiter(map(number.__getitem__, w), dtype=np.int32, count=len(w))
+        wide, base, hits = flat.astype(np.int64), len(self.number) + 1, []
+        for apart in (1, 2):
+            codes = np.where((wide[:-apart] >= 0) & (wide[apart:] >= 0), wide[:-apart] * base + wide[apart:], -1)
+            at = np.flatnonzero(codes >= 0)
+            if len(self.sorted) and len(at):
+                found = np.minimum(np.searchsorted(self.sorted, codes[at]), len(self.sorted) - 1)
+                fits = self.sorted[found] == codes[at]
+                at, found = at[fits], found[fits]
+                many = self.times[found]
+                entry = np.repeat(self.first[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                hits.append((np.repeat(at, many), self.item[entry], self.place[entry]))
+        at, item, place = (np.concatenate([*(h[i] for h in hits), np.zeros(0, dtype=np.int64)]) for i in range(3))
+        return flat, starts[:-1], starts[:-1] + sizes, np.searchsorted(starts, at, side="right") - 1, at, item, place
 
 
 class _Numbers(dict):
@@ -109,19 +103,32 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _enough(seeds: Seeds, flat: np.ndarray, first: np.ndarray, last: np.ndarray, item: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the words first to last of each window hold as many words of its item as the threshold needs."""
-    base = len(seeds.number) + 1
-    known = np.unique(np.concatenate([k * base + t for k, t in enumerate(seeds.tokens)]))
-    sizes = np.array([len(t) for t in seeds.tokens])
-    out = np.zeros(len(first), dtype=bool)
-    for lo in range(0, len(first), 2048):
-        a, b, k = first[lo : lo + 2048, None], last[lo : lo + 2048, None], item[lo : lo + 2048]
-        at = a + np.arange((b - a).max())
-        word = np.where(at < b, flat[np.minimum(at, len(flat) - 1)], -1)
-        code = k[:, None] * base + word
-        found = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
-        out[lo : lo + 2048] = (found & (word >= 0)).sum(axis=1) >= threshold * sizes[k]
+#: Words of windows looked at at once.
+CELLS = 1 << 18
+
+
+def _enough(seeds: Seeds, flat: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the words first to last of each window can hold an alignment over the threshold: it needs as many words of
+    the item in the window, and as many words of the window in the item.
+
+    A word has the bits of its places in the item (modulo 64, so that longer items are bounded from above)."""
+    out = np.zeros(len(item), dtype=bool)
+    bits = np.zeros(len(seeds.number) + 1, dtype=np.uint64)  # the last is for unknown words, -1
+    order = np.lexsort((last - first, item))
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(item)), dtype=bool), item[order][1:] != item[order][:-1]]))
+    for own in np.split(order, starts[1:]) if len(item) else ():
+        k = int(item[own[0]])
+        tokens, size = seeds.tokens[k], int(seeds.sizes[k])
+        np.bitwise_or.at(bits, tokens, np.uint64(1) << (np.arange(size) % 64).astype(np.uint64))
+        rows = max(1, CELLS // int((last - first)[own[-1]]))
+        for lo in range(0, len(own), rows):
+            part = own[lo : lo + rows]
+            at = first[part, None] + np.arange(int((last - first)[part[-1]]))
+            here = bits[flat[np.minimum(at, len(flat) - 1)]]
+            here[at >= last[part, None]] = 0
+            of_item = np.bitwise_count(np.bitwise_or.reduce(here, axis=1)).astype(np.int64) * -(-size // 64)
+            out[part] = np.minimum(of_item, np.count_nonzero(here, axis=1)) >= threshold * size
+        bits[tokens] = 0
     return out
 
 
@@ -129,52 +136,32 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa
 
 
 def _aligner(seeds: Seeds, threshold: float):
-    sizes = np.array([len(t) for t in seeds.tokens], dtype=np.int64)
-    listed = [t.tolist() for t in seeds.tokens]
+    #: How far an alignment reaches from its diagonal: it has at most 2 (1 - threshold) errors a word.
+    slack = np.ceil(np.maximum(seeds.sizes // 2 + 4, 2 * (1 - threshold) * seeds.sizes)).astype(np.int64)
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in sub_batches(texts, 8 << 20):
-                flat, starts, doc, at, codes = seeds.read(texts[lo:hi])
-                which = [np.array([k for k, _ in seeds.places[c]]) for c in codes.tolist()]
-                many = np.array([len(w) for w in which], dtype=np.int64)
-                item = np.concatenate([*which, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-                place = np.array([i for c in codes.tolist() for _, i in seeds.places[c]], dtype=np.int64)
-                doc, at = np.repeat(doc, many), np.repeat(at, many)
-                long = sizes[item]
-                # All that an alignment through the seed can cover: it has at most 2 (1 - threshold) errors a word.
-                most = np.ceil(2 * (1 - threshold) * long).astype(np.int64)
-                wide = (np.maximum(starts[doc], at - place - most), np.minimum(starts[doc + 1] - 1, at - place + long + most))
-                keep = np.flatnonzero(_enough(seeds, flat, *wide, item, threshold))
-                hits = defaultdict(list)
-                for d, k, p, i in zip(doc[keep].tolist(), item[keep].tolist(), at[keep].tolist(), place[keep].tolist()):
-                    hits[d, k].append((p - i, p))
-                keys, items, windows, spans = [], [], [], []
-                for (d, k), found in hits.items():
-                    size = len(seeds.tokens[k])
-                    slack = max(size // 2 + 4, int(np.ceil(2 * (1 - threshold) * size)))
-                    first, last = starts[d], starts[d + 1] - 1
-                    # Hits whose windows overlap are one window; it grows with the copies that it holds.
-                    regions: list[list[int]] = []
-                    for diagonal, _ in sorted(found):
-                        a, b = max(first, diagonal - slack), min(last, diagonal + size + slack)
-                        if regions and a <= regions[-1][1] and b - regions[-1][0] <= 4 * (size + 2 * slack):
-                            regions[-1][1] = max(b, regions[-1][1])
-                            regions[-1][2] += 1
-                        else:
-                            regions.append([a, b, 1])
-                    for a, b, n in regions:
-                        there = set(flat[a:b].tolist())
-                        if sum(w in there for w in listed[k]) < threshold * size:
-                            continue
-                        keys.append((d, k)), items.append(seeds.tokens[k]), windows.append(flat[a:b]), spans.append((n, a - first, b - first))
-                scores = align(items, windows) if items else []
+            for lo, hi in sub_batches(texts, 2 << 20):
+                flat, starts, ends, doc, at, item, place = seeds.read(texts[lo:hi])
+                # Hits on near diagonals of a text and item share a window, which covers what each of them can reach.
+                diagonal = at - place
+                band = (diagonal - starts[doc] + seeds.sizes[item]) // seeds.sizes[item]
+                order = np.lexsort((diagonal, band, item, doc))
+                doc, item, band, diagonal = doc[order], item[order], band[order], diagonal[order]
+                fresh = np.flatnonzero(np.concatenate([np.ones(min(1, len(doc)), dtype=bool), (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
+                hits = np.diff(np.append(fresh, len(doc)))
+                low, high, doc, item = diagonal[fresh], diagonal[fresh + hits - 1], doc[fresh], item[fresh]
+                first = np.maximum(starts[doc], low - slack[item])
+                last = np.minimum(ends[doc], high + seeds.sizes[item] + slack[item])
+                keep = _enough(seeds, flat, item, first, last, threshold)
+                doc, item, first, last, hits = doc[keep], item[keep], first[keep], last[keep], hits[keep]
+                scores = align([seeds.tokens[k] for k in item], [flat[a:b] for a, b in zip(first, last)]) if len(item) else []
                 best: dict[tuple[int, int], tuple] = {}
-                for key, score, span in zip(keys, scores, spans):
-                    if score >= threshold and (score, span) > best.get(key, (0.0,)):
-                        best[key] = (score, span)
-                rows = [(ids[lo + d], seeds.ids[k], s, n, a, b) for (d, k), (s, (n, a, b)) in best.items()]
+                for d, k, score, n, a, b in zip(doc.tolist(), item.tolist(), scores, hits.tolist(), (first - starts[doc]).tolist(), (last - starts[doc]).tolist()):
+                    if score >= threshold and (score, n, a, b) > best.get((d, k), (0.0,)):
+                        best[d, k] = (score, n, a, b)
+                rows = [(ids[lo + d], seeds.ids[k], *found) for (d, k), found in best.items()]
                 yield arrow(FOUND, [list(c) for c in zip(*rows)] if rows else [[] for _ in FOUND])
 
     return run

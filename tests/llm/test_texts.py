@@ -1,9 +1,11 @@
 """URL filter, packing, decontamination and chat formatting."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,26 @@ def test_decontamination_of_regular_edits(spark, exact):
     assert {(r.doc_id, r.item_id) for r in got} == {(d, d % 100) for d, _ in rows}
 
 
+def test_decontamination_against_every_alignment():
+    """Each document against each item in full, over so few words that edits, insertions and chance matches abound."""
+    rng = random.Random(5)
+    items = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 30))) for _ in range(25)] + ["q " * 80]
+    docs: list = [" ".join(rng.choice("abcdefghxyz") for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, ""]
+    for k, item in enumerate(items):  # a foreign word after each word, each third one replaced, one in five lost
+        w = item.split()
+        docs += [" x ".join(w), " ".join("z" if i % 3 == 1 else x for i, x in enumerate(w)), " ".join(x for x in w if rng.random() > 0.2), f"{docs[k]} {item}"]
+    seeds = decontaminate.Seeds(list(enumerate(items)), 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], ["doc_id", "text"])
+    got = {(r["doc_id"], r["item_id"]): r["score"] for b in decontaminate._aligner(seeds, 0.5)([batch]) for r in b.to_pylist()}
+    want = {}
+    for d, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            score = slow_alignment(decontaminate.words(item), decontaminate.words(doc))
+            if score >= 0.5:
+                want[d, k] = score
+    assert got == pytest.approx(want) and len(want) > 100
+
+
 def test_decontamination_in_passes(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(25, 700 + i)) for i in range(8)], "item_id long, text string")
     docs = frame(spark, [(i, prose(20, i) + " " + prose(25, 700 + i)) for i in range(8)])
