@@ -1,11 +1,15 @@
-"""Embedding near-duplicates: exact comparison in blocks, beside a robust-pruned flat graph (Vamana: Subramanya et al.,
-DiskANN, NeurIPS 2019) whose recall the audit reports.
-
-Vectors are clustered on a bounded sample, each in the cell of its nearest centroid. Every vector is compared in
-double precision with every vector of each cell that one within the threshold can lie in: a neighbour u at cosine t is
-at most sqrt(2 - 2t) away, so for v of cell a, u can lie in cell b only if v.(a - b) <= sqrt(2 - 2t) |a - b|. No pair is
-missed, however a dense group is split among cells. The vectors go past blocks of bounded size, a pass for each block.
-The graph decides nothing: the audit searches it in each cell and counts what it finds of the true pairs there.
+"""Embedding near-duplicates by a robust-pruned flat graph (Vamana: Subramanya et al., DiskANN, NeurIPS 2019).
+
+1. Vectors are clustered on a bounded sample; each goes to the shards of its OVERLAP nearest centroids. A shard's graph
+   grows by insertion: a greedy search from the medoid finds a vector's candidates, robust pruning keeps its neighbours.
+2. The adjacency lists of all shards are united, a list for each vector.
+3. Each vector searches the united graph from the medoid of its home cell, then range by range: from itself and all
+   that it found near the threshold. A task has the vectors of a home cell and their neighbours in all other cells.
+4. What the search found is verified in double precision; n_found counts it.
+5. An exact check follows, since a graph can miss links: each vector is compared with every cell that one within the
+   threshold can lie in. A neighbour u at cosine t is at most sqrt(2 - 2t) away, so for v of cell a, u can lie in cell b
+   only if v.(a - b) <= sqrt(2 - 2t) |a - b|. No pair is missed, however a dense group is split among cells, and the audit
+   has the graph's recall over all rows: n_found against n_links.
 """
 
 from __future__ import annotations
@@ -20,16 +24,17 @@ from pyspark.sql import functions as F
 from rillcep.llm.common import arrow, staged, table
 from rillcep.llm.graph import components
 
-#: Bounds: vectors the clustering sees, clusters, and vectors of one graph of the audit (larger cells are cut).
-SAMPLE, CLUSTERS, PIECE = 20_000, 2048, 1000
+#: Bounds of the clustering: vectors that it sees, and clusters (one for 800 vectors below that).
+SAMPLE, CLUSTERS = 20_000, 2048
+#: Shards that a vector is in, and vectors of one shard's graph or of one search. Larger cells are cut by hash, at the
+#: cost of the graph's recall; the exact check doesn't depend on it.
+OVERLAP, PIECE = 3, 16_000
 #: Bytes of the vectors that a pass over all vectors compares them with, and vectors of a task multiplied at once.
 BLOCK, ROWS = 8 << 20, 256
-#: Graph: nearest and random candidates of a node, neighbours kept, and the pruning slack.
-NEAREST, RANDOM, DEGREE, ALPHA = 32, 12, 20, 1.2
+#: Graph: neighbours kept, room for edges back before they are pruned too, the pruning slack and the beam of insertions.
+DEGREE, ROOM, ALPHA, INSERT = 20, 32, 1.2, 32
 #: Search: beam width, and how far below the threshold the range search still expands.
 BEAM, SLACK = 24, 0.05
-#: Every so many-th member is audited.
-AUDIT = 20
 
 
 def unit(vectors) -> np.ndarray:
@@ -52,124 +57,115 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def robust_prune(sims: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Neighbours (n x degree, -1 for none) out of candidates (n x c): nearest first, dropping each that a kept one
-    is closer to by the factor alpha."""
-    n, c = candidates.shape
-    rows = np.arange(n)[:, None]
-    far = 1 - sims[rows, candidates]
-    far[candidates == rows] = np.inf
+def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Neighbours (rows x degree, -1 for none) of nodes out of candidates (rows x c, -1 for none): nearest first, dropping
+    each that a kept one is closer to by the factor alpha."""
+    rows, c = candidates.shape
+    found = x[candidates]
+    far = 1 - np.einsum("ij,icj->ic", x[nodes], found)
+    far[(candidates < 0) | (candidates == nodes[:, None])] = np.inf
     order = np.argsort(far, axis=1, kind="stable")
     candidates, far = np.take_along_axis(candidates, order, 1), np.take_along_axis(far, order, 1)
-    alive, kept, out = np.isfinite(far), np.zeros(n, dtype=np.int64), np.full((n, degree), -1, dtype=np.int64)
+    found = np.take_along_axis(found, order[:, :, None], 1)
+    between = alpha * (1 - found @ found.transpose(0, 2, 1))
+    alive, kept, out = np.isfinite(far), np.zeros(rows, dtype=np.int64), np.full((rows, degree), -1, dtype=np.int64)
     for j in range(c):
         take = np.flatnonzero(alive[:, j] & (kept < degree))
-        if not len(take):
-            continue
-        own = candidates[take, j]
-        out[take, kept[take]] = own
-        kept[take] += 1
-        between = 1 - sims[own[:, None], candidates[take]]
-        alive[take] &= ~(alpha * between <= far[take])
-    return out
-
-
-def build(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency of each vector: robust-pruned nearest and random candidates, with reverse edges."""
-    n = len(x)
-    sims = (x @ x.T).astype(np.float32)
-    near = min(NEAREST + 1, n)
-    nearest = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-    anyone = np.random.default_rng(11).integers(0, n, (n, RANDOM))
-    kept = robust_prune(sims, np.concatenate([nearest, anyone], axis=1), DEGREE, ALPHA)
-    a, b = np.nonzero(kept >= 0)[0], kept[kept >= 0]
-    both = np.unique(np.concatenate([np.stack([a, b], 1), np.stack([b, a], 1)]), axis=0)
-    return np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, n)))
-
-
-def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a))
-    for i in range(0, len(a), 100_000):
-        out[i : i + 100_000] = np.einsum("ij,ij->i", x[a[i : i + 100_000]], x[b[i : i + 100_000]])
+        if len(take):
+            out[take, kept[take]] = candidates[take, j]
+            kept[take] += 1
+            alive[take] &= between[take, j] > far[take]
     return out
 
 
-def search(x: np.ndarray, adjacency: list[np.ndarray], threshold: float, beam: int) -> np.ndarray:
-    """Boolean matrix of verified pairs: greedy search of each vector from the medoid, then range expansion."""
-    n = len(x)
-    width = max(1, max(map(len, adjacency)))
-    graph = np.full((n, width), -1, dtype=np.int64)
-    for i, own in enumerate(adjacency):
-        graph[i, : len(own)] = own
-    medoid = int(np.argmax(x @ x.mean(axis=0)))
-    rows = np.arange(n)
-    visited = np.zeros((n, n), dtype=bool)
-    visited[:, medoid] = True
-    ids, near = np.full((n, beam), medoid, dtype=np.int64), np.full((n, beam), -np.inf)
-    near[:, 0] = x @ x[medoid]
-    done = np.ones((n, beam), dtype=bool)
+def greedy(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest nodes found (queries x beam, -1 for none), cosines of all that was looked at (queries x nodes, else -inf)):
+    a best-first search of each query along the graph (nodes x width, -1 for none)."""
+    q, width = len(queries), graph.shape[1]
+    rows, seen = np.arange(q), np.full((q, len(x)), -np.inf)
+    ids, near = np.full((q, beam), -1, dtype=np.int64), np.full((q, beam), -np.inf)
+    ids[:, 0], near[:, 0] = start, queries @ x[start]
+    seen[:, start] = near[:, 0]
+    done = np.ones((q, beam), dtype=bool)
     done[:, 0] = False
-    found = near[:, 0] >= threshold
-    linked = np.zeros((n, n), dtype=bool)
-    linked[found, medoid] = True
-    inside = np.zeros((n, n), dtype=bool)
-    inside[near[:, 0] >= threshold - SLACK, medoid] = True
     while True:
         best = np.where(done, -np.inf, near)
         slot = best.argmax(axis=1)
         active = np.flatnonzero(np.isfinite(best[rows, slot]))
         if not len(active):
-            break
+            return ids, seen
         done[active, slot[active]] = True
         step = graph[ids[active, slot[active]]]
-        q, w = np.repeat(active, width), step.ravel()
-        fresh = w >= 0
-        fresh[fresh] = ~visited[q[fresh], w[fresh]]
-        sims = np.full(len(q), -np.inf)
-        sims[fresh] = _dots(x, q[fresh], w[fresh])
-        visited[q[fresh], w[fresh]] = True
-        linked[q[sims >= threshold], w[sims >= threshold]] = True
-        near_by = sims >= threshold - SLACK
-        inside[q[near_by], w[near_by]] = True
-        all_ids = np.concatenate([ids[active], w.reshape(-1, width)], axis=1)
-        all_near = np.concatenate([near[active], sims.reshape(-1, width)], axis=1)
-        all_done = np.concatenate([done[active], ~fresh.reshape(-1, width)], axis=1)
+        fresh = (step >= 0) & np.isneginf(seen[active[:, None], step])
+        sims = np.where(fresh, np.einsum("ij,icj->ic", queries[active], x[step]), -np.inf)
+        at, place = np.nonzero(fresh)
+        seen[active[at], step[at, place]] = sims[at, place]
+        all_ids, all_near = np.concatenate([ids[active], step], axis=1), np.concatenate([near[active], sims], axis=1)
+        all_done = np.concatenate([done[active], ~fresh], axis=1)
         top = np.argsort(-all_near, axis=1, kind="stable")[:, :beam]
         ids[active], near[active], done[active] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_near, all_done))
-    # Range expansion node by node: all queries that have the node in range look at its neighbours together.
-    inside[rows, rows] = True  # a vector is a node in its own range
-    while inside.any():
-        further = np.zeros_like(inside)
-        for node in np.flatnonzero(inside.any(axis=0)):
-            block = np.ix_(np.flatnonzero(inside[:, node]), adjacency[node])
-            fresh = ~visited[block]
-            if not fresh.any():
-                continue
-            sims = x[block[0][:, 0]] @ x[block[1][0]].T
-            visited[block] = True
-            linked[block] |= fresh & (sims >= threshold)
-            further[block] |= fresh & (sims >= threshold - SLACK)
-        inside = further
-    linked |= linked.T
-    np.fill_diagonal(linked, False)
-    return linked
-
-
-def audited(x: np.ndarray, adjacency: list[np.ndarray], threshold: float) -> tuple[np.ndarray, int, int]:
-    """(links, true pairs of audited members, those found by the first search)."""
-    some = np.arange(0, len(x), AUDIT)
-    truth = x[some] @ x.T >= threshold
-    truth[np.arange(len(some)), some] = False
-    linked = search(x, adjacency, threshold, BEAM)
-    first = int((linked[some] & truth).sum())
-    if (truth & ~linked[some]).any():
-        linked |= search(x, adjacency, threshold, 4 * BEAM)
-    if (truth & ~linked[some]).any():
-        for i in range(0, len(x), 500):
-            linked[i : i + 500] |= x[i : i + 500] @ x.T >= threshold
-        np.fill_diagonal(linked, False)
-        linked |= linked.T
-    return linked, int(truth.sum()), first
+
+
+def medoid(x: np.ndarray) -> int:
+    return int(np.argmax(x @ x.mean(axis=0)))
+
+
+def grow(x: np.ndarray) -> list[np.ndarray]:
+    """Adjacency of each vector, by insertion in batches of up to a tenth of the graph so far: candidates by a greedy
+    search from the medoid and among the batch itself; edges back are added, and pruned where they outgrow the room."""
+    n, start = len(x), medoid(x)
+    graph, many = np.full((n, ROOM), -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    rest = np.random.default_rng(11).permutation(n)
+    rest, at, inside = rest[rest != start], 0, 1
+    while at < len(rest):
+        batch = rest[at : at + min(256, max(1, inside // 10))]
+        at, inside = at + len(batch), inside + len(batch)
+        found, _ = greedy(x, graph, x[batch], start, INSERT)
+        mates = x[batch] @ x[batch].T
+        mates = batch[np.argsort(-mates, axis=1, kind="stable")[:, : DEGREE // 2]]
+        kept = robust_prune(x, batch, np.concatenate([found, mates], axis=1), DEGREE, ALPHA)
+        graph[batch, :DEGREE], many[batch] = kept, (kept >= 0).sum(axis=1)
+        a, b = batch[np.nonzero(kept >= 0)[0]], kept[kept >= 0]
+        order = np.argsort(b, kind="stable")
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        for node, back in zip(b[first].tolist(), np.split(a, first[1:])):
+            own = graph[node, : many[node]]
+            own = np.concatenate([own, back[~np.isin(back, own)]])
+            if len(own) > ROOM:
+                own = robust_prune(x, np.array([node]), own[None, :], DEGREE, ALPHA)[0]
+                own = own[own >= 0]
+            graph[node] = -1
+            graph[node, : len(own)], many[node] = own, len(own)
+    return [g[:m] for g, m in zip(graph, many)]
+
+
+def search(x: np.ndarray, adjacency: list[np.ndarray], own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, nodes) arrays of the pairs at the threshold that the vectors `own` (places in x) find in the graph: a
+    greedy search from the medoid, then range by range through all nodes near the threshold, the vector itself first."""
+    graph = np.full((len(x), max(1, max(map(len, adjacency)))), -1, dtype=np.int64)
+    for i, g in enumerate(adjacency):
+        graph[i, : len(g)] = g
+    start, pairs = medoid(x), []
+    for lo in range(0, len(own), ROWS):
+        part = own[lo : lo + ROWS]
+        _, seen = greedy(x, graph, x[part], start, BEAM)
+        inside = seen >= threshold - SLACK
+        inside[np.arange(len(part)), part] = True
+        while inside.any():
+            further = np.zeros_like(inside)
+            for node in np.flatnonzero(inside.any(axis=0)):
+                block = np.ix_(np.flatnonzero(inside[:, node]), adjacency[node])
+                fresh = np.isneginf(seen[block])
+                if fresh.any():
+                    sims = x[part[block[0][:, 0]]] @ x[adjacency[node]].T
+                    seen[block] = np.where(fresh, sims, seen[block])
+                    further[block] |= fresh & (sims >= threshold - SLACK)
+            inside = further
+        seen[np.arange(len(part)), part] = -np.inf
+        a, b = np.nonzero(seen >= threshold)
+        pairs.append((part[a], b))
+    return tuple(np.concatenate([p[i] for p in pairs]) for i in range(2))
 
 
 def _assigner(middle: np.ndarray):
@@ -178,14 +174,69 @@ def _assigner(middle: np.ndarray):
             if not batch.num_rows:
                 continue
             x = unit(batch.column("vector").to_pylist())
-            cell = np.argmax(x @ middle.T, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(cell), pa.array(list(x), pa.list_(pa.float64()))], ["rep", "copies", "cell", "vector"])
+            near = np.argsort(-(x @ middle.T), axis=1, kind="stable")[:, :OVERLAP]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(near[:, 0]), pa.array(list(near), pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64()))], ["rep", "copies", "cell", "cells", "vector"])
 
     return run
 
 
 def _matrix(batch) -> np.ndarray:
-    return batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    column = batch.column("vector")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _groups(batches):
+    """Consecutive rows of one (cell, piece) as a table each."""
+    key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "piece")], axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if parts and tuple(keys[lo]) != key:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            key = tuple(keys[lo])
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+LISTS = pa.schema([("rep", pa.int64()), ("neighbours", pa.list_(pa.int64()))])
+
+
+def _builder(batches):
+    """Shards -> the adjacency lists of each, by rep."""
+    for shard in _groups(batches):
+        reps = shard.column("rep").to_numpy()
+        yield arrow(LISTS, [reps, [reps[g] for g in grow(_matrix(shard))]])
+
+
+FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("found", pa.int64())])
+
+
+def _searcher(threshold: float):
+    """Parts of the united graph -> for each vector at home there: the links found, and the smallest vector among them."""
+
+    def run(batches):
+        for part in _groups(batches):
+            reps, copies, home = (part.column(c).to_numpy() for c in ("rep", "copies", "home"))
+            by = np.argsort(reps)
+            lists = part.column("neighbours").combine_chunks()
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            place = np.minimum(np.searchsorted(reps, flat, sorter=by), len(reps) - 1)
+            known = reps[by[place]] == flat  # a neighbour's neighbours may lie elsewhere
+            ends = np.cumsum(np.bincount(np.repeat(np.arange(len(reps)), sizes)[known], minlength=len(reps)))
+            a, b = search(_matrix(part), np.split(by[place[known]], ends[:-1]), np.flatnonzero(home), threshold)
+            n = np.bincount(a, weights=copies[b], minlength=len(reps)).astype(np.int64)
+            low = np.full(len(reps), np.iinfo(np.int64).max)
+            np.minimum.at(low, a, reps[b])
+            own = np.flatnonzero(n > 0)
+            yield arrow(FOUND, [reps[own], np.zeros(len(own), np.int64), low[own], n[own]])
+
+    return run
 
 
 def _packed(batches):
@@ -230,9 +281,6 @@ class Block:
         self.root = root
 
 
-FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-
-
 def _matcher(block: Block):
     """For each vector with matches in the block: their number, and an edge to each component of the block among them."""
 
@@ -251,87 +299,85 @@ def _matcher(block: Block):
                 edges[a - low, block.root[b]] = True
                 row, root = np.nonzero(edges)
                 first = np.concatenate([[True], row[1:] != row[:-1]])
-                yield arrow(FOUND, [reps[row + low], np.where(first, links[row], 0), block.reps[root]])
+                yield arrow(FOUND, [reps[row + low], np.where(first, links[row], 0), block.reps[root], np.zeros(len(row), np.int64)])
 
     return run
 
 
-def _graphs(threshold: float):
-    """Rows (cell, piece, vector) in order -> true pairs of audited members, those that the graph search finds."""
+MADE = "rep long, links long, root long, found long"
 
-    def count(rows):
-        x = np.array([r[2] for r in rows])
-        _, truth, first = audited(x, build(x), threshold)
-        return pa.RecordBatch.from_arrays([pa.array([truth]), pa.array([first])], ["audited", "recalled"])
 
-    def run(batches):
-        key, rows = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and row[:2] != key:
-                    yield count(rows)
-                    rows = []
-                key = row[:2]
-                rows.append(row)
-        if rows:
-            yield count(rows)
+def _cut(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows with the piece of their cell; sizes has CLUSTERS rows at most."""
+    pieces = sizes.select("cell", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
+    return rows.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")).drop("pieces")
 
-    return run
+
+def _searched(placed: DataFrame, threshold: float) -> DataFrame:
+    """Links found in the united graph."""
+    shards = placed.select("rep", F.explode("cells").alias("cell"), "vector")
+    shards = _cut(shards, shards.groupBy("cell").count()).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "rep")
+    lists = shards.select("rep", "cell", "piece", "vector").mapInArrow(_builder, "rep long, neighbours array<long>")
+    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # OVERLAP lists at most
+    nodes = staged(_cut(placed.drop("cells"), placed.groupBy("cell").count()).join(united, "rep"), "graph")
+    at_home = nodes.select("cell", "piece", "rep", "copies", "vector", "neighbours", F.lit(True).alias("home"))
+    asked = nodes.select(F.col("cell").alias("c"), F.col("piece").alias("p"), F.explode("neighbours").alias("rep")).distinct().join(nodes, "rep")
+    asked = asked.where("c <> cell or p <> piece").select(F.col("c").alias("cell"), F.col("p").alias("piece"), "rep", "copies", "vector", "neighbours", F.lit(False).alias("home"))
+    parts = at_home.unionByName(asked).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "rep")
+    return staged(parts.mapInArrow(_searcher(threshold), MADE), "found")
 
 
-def _of_dimension(classes: DataFrame, size: int, threshold: float) -> tuple[list[DataFrame], DataFrame]:
-    """(a table of matches for each block, audit)."""
+def _of_dimension(classes: DataFrame, size: int, threshold: float) -> list[DataFrame]:
+    """What the graph search found, and a table of the exact check's matches for each block."""
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()["vector"]
     k = int(min(CLUSTERS, max(1, n // 800), len(sample)))
     middle = centroids(unit(list(sample)), k)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = classes.mapInArrow(_assigner(middle), "rep long, copies long, cell long, vector array<double>")
+    placed = classes.mapInArrow(_assigner(middle), "rep long, copies long, cell long, cells array<long>, vector array<double>")
     placed = staged(placed.repartitionByRange(parts, "cell", "rep"), "placed")  # rows multiplied together share cells
-    passes, found = -(-n * size * 8 // BLOCK), []
+    found = [_searched(placed, threshold)]
+    rows_ = placed.select("rep", "copies", "cell", "vector")
+    passes = -(-n * size * 8 // BLOCK)
     for p in range(passes):
-        rows = placed.where(F.pmod(F.xxhash64("rep"), F.lit(passes)) == p).mapInArrow(_packed, "rep binary, copies binary, cell binary, vector binary").collect()
+        rows = rows_.where(F.pmod(F.xxhash64("rep"), F.lit(passes)) == p).mapInArrow(_packed, "rep binary, copies binary, cell binary, vector binary").collect()
         if not rows:
             continue
         reps, copies, cells = (np.concatenate([np.frombuffer(r[c], dtype=np.int64) for r in rows]) for c in range(3))
         block = Block(reps, copies, cells, np.concatenate([np.frombuffer(r[3]) for r in rows]).reshape(-1, size), middle, threshold)
         block.label()
-        found.append(staged(placed.mapInArrow(_matcher(block), "rep long, links long, root long"), "found"))
-    cut = placed.join(F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))), "cell")  # CLUSTERS rows at most
-    cut = cut.select("cell", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int").alias("piece"), "vector", "rep")
-    cut = cut.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "rep").select("cell", "piece", "vector")
-    return found, cut.mapInArrow(_graphs(threshold), "audited long, recalled long")
+        found.append(staged(rows_.mapInArrow(_matcher(block), MADE), "found"))
+    return found
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """vectors (vec_id, embedding, ...) -> (result, audit).
 
-    result: vec_id, n_links, component_id, kept; one row for each input row. Null, empty and all-zero vectors and those
-    with a null or non-finite component link with nothing, nor do vectors of different lengths with each other. Equal
-    vectors link. A row of a null vec_id links with nothing: component_id null, kept. audit: true pairs of a sample in
-    their cells, and those that a graph search finds; it runs only when asked for. An empty table gives an empty result; other columns are ignored."""
+    result: vec_id, n_links, component_id, kept, n_found (the links that the graph search found by itself); one row for
+    each input row. Null, empty and all-zero vectors and those with a null or non-finite component link with nothing,
+    nor do vectors of different lengths with each other. Equal vectors link. A row of a null vec_id links with nothing:
+    component_id null, kept. audit: one row, `links` of all rows and those `found` by the graph search. An empty table
+    gives an empty result; other columns are ignored."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("vector", lambda c: c != 0)
     v = v.withColumn("fine", F.coalesce(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & fine, F.lit(False)))
     keyed = v.withColumn("class", F.when(F.col("fine"), F.sha2(F.array_join(F.transform("vector", lambda c: c.cast("string")), ",").cast("binary"), 256)))
     classes = keyed.where("fine").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = staged(classes, "vectors")
-    blocks, audits = [], []
+    made = []
     for size in sorted(r[0] for r in classes.select(F.size("vector")).distinct().collect()):
-        one, audit = _of_dimension(classes.where(F.size("vector") == size).select("rep", "copies", "vector"), size, threshold)
-        blocks += one
-        audits.append(audit)
-    spark = vectors.sparkSession
-    found = reduce(DataFrame.unionByName, blocks, spark.createDataFrame([], "rep long, links long, root long"))
-    audits = reduce(DataFrame.unionByName, audits, spark.createDataFrame([], "audited long, recalled long"))
+        made += _of_dimension(classes.where(F.size("vector") == size).select("rep", "copies", "vector"), size, threshold)
+    found = reduce(DataFrame.unionByName, made, vectors.sparkSession.createDataFrame([], MADE))
     linked = components(found.selectExpr("rep as a", "root as b"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
     named = classes.select("class", "rep", "copies").join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    total = lambda c: (F.coalesce(c, F.lit(0)) + F.col("copies") - 1)
+    named = named.select("class", total("links").alias("n_links"), total("found").alias("n_found"), F.coalesce("component", "rep").alias("component"))
     out = keyed.select("vec_id", "class").join(named, "class", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    result = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
-    return result, audits.agg(F.sum("audited").alias("audited"), F.sum("recalled").alias("recalled"))
+    counted = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    result = out.select("vec_id", counted("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), counted("n_found"))
+    return result, result.agg(F.sum("n_links").alias("links"), F.sum("n_found").alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
