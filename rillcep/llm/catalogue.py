@@ -17,4 +17,10 @@ QUERIES = {
     "op10_reply_tree_chat": chat.query,
 }
 
-ORACLES = {"op4_url_filter": urlfilter.oracle(), "op10_reply_tree_chat": chat.oracle()}
+_SQL = {"op4_url_filter": urlfilter.oracle, "op10_reply_tree_chat": chat.oracle}
+
+
+def __getattr__(name: str):
+    if name == "ORACLES":  # made when asked for, since one holds a fitted model
+        return {k: make() for k, make in _SQL.items()}
+    raise AttributeError(name)
