@@ -14,28 +14,32 @@ from rillcep.llm.common import held_out, table
 
 LETTER = re.compile(r"[^\W\d_]")
 
-#: Bounds of the fit: bytes of a language's dictionary, sampled documents of a language, and bytes of one document.
-DICTIONARY, SAMPLE, SHARE = 32 << 10, 400, 256
+#: Bounds of the fit: bytes of a language's dictionary, sampled documents of a language, and characters of a passage.
+DICTIONARY, SAMPLE, PASSAGE = 32 << 10, 400, 80
 #: Bytes compressed at once; a whole text is the sum of its blocks, so its own repeats don't drown the dictionary.
 BLOCK = 4 << 10
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Raw content for each non-null lang of docs (doc_id, text, lang): a bounded sample by hash of the id.
+    """Raw content for each non-null lang of docs (doc_id, text, lang), from a bounded sample by hash of the id.
 
-    The sample is drawn in two rounds, so a frequent language never gathers in one task."""
+    All sampled documents of a language give equally many passages, as many as fill the dictionary, from places that a
+    hash deals over the whole text: what texts begin with has no more weight than the rest. Rows of a null doc_id, lang
+    or text aren't learned. The sample is drawn in two rounds, so a frequent language never gathers in one task."""
     order = F.xxhash64("doc_id", F.lit(23))
     ids = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "lang", order.alias("h"))
     first = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
     ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE // 16)
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang", "r")), "doc_id").orderBy("lang", "r", "text").select("lang", F.substring(F.lower("text"), 1, SHARE).alias("text")).collect()
-    out: dict[str, list[bytes]] = {}
-    for lang, text in rows:
-        parts = out.setdefault(lang, [])
-        if sum(map(len, parts)) < DICTIONARY:
-            parts.append(text.encode()[:SHARE])
-    return {k: b"\n".join(v)[:DICTIONARY] for k, v in sorted(out.items())}
+    ids = ids.withColumn("passages", F.ceil(F.lit(DICTIONARY / PASSAGE) / F.max("r").over(Window.partitionBy("lang"))).cast("int"))
+    texts = docs.where("text is not null").select("doc_id", F.lower("text").alias("text")).join(F.broadcast(ids.drop("h")), "doc_id")
+    room = F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1
+    place = lambda i: (F.pmod(F.xxhash64("doc_id", i), room) + 1).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), "passages"), lambda i: F.substring(F.col("text"), place(i), F.lit(PASSAGE)))
+    out: dict[str, list[str]] = {}
+    for lang, passages in texts.select("lang", F.array_distinct(cut)).collect():
+        out.setdefault(lang, []).extend(passages)
+    return {k: "\n".join(sorted(v)).encode()[:DICTIONARY] for k, v in sorted(out.items())}
 
 
 def sizes(text: bytes, compressors) -> list[int]:
