@@ -5,12 +5,14 @@ toxic rows among labelled ones is the class prior pi. A linear model minimises
     pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])
 with the sigmoid loss, bounded as the paper advises: a prior that is off shifts scores little. When the bracket turns
 negative, the step goes back along it instead.
-Features are words and word beginnings of four and five letters (inflections share those).
+Features are words and word beginnings of four and five letters (inflections share those): all whose share among the
+positives, two standard deviations down, is above their share among all texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +25,10 @@ from rillcep.llm.common import arrow, held_out, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
-#: Bounds of the fit: rows taken of each kind, by hash of the id, and features kept.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 6000, 256
+#: Bounds of the fit: rows taken of each kind, by hash of the id. The features' shares are counted over all texts.
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
+#: Texts that hold as large a share of all rows count once in those shares, like one text.
+FREQUENT = 0.001
 
 
 def word_features(word: str) -> list[int]:
@@ -58,78 +62,108 @@ class Model:
     bias: float
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1200, rate: float = 0.05, decay: float = 1e-6) -> Model:
+def supported(positive: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(names, least share) of the features that may be chosen: the share among the positives less two deviations."""
+    names, df = np.unique(np.concatenate([*positive, np.zeros(0, np.int64)]), return_counts=True)
+    least = (df - 2 * np.sqrt(df)) / max(1, len(positive))
+    return names[least > 0], least[least > 0]
+
+
+def _sparse(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in chosen) of every chosen feature."""
+    flat, row = np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.minimum(np.searchsorted(chosen, flat), max(0, len(chosen) - 1))
+    fits = chosen[at] == flat if len(chosen) else np.zeros(len(flat), dtype=bool)
+    return row[fits], at[fits]
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, steps: int = 1200, rate: float = 0.05, decay: float = 3e-6) -> Model:
     """nnPU fit on feature arrays of confirmed toxic and of unlabelled texts; without positives, all scores are low."""
-    positive = list({p.tobytes(): p for p in positive}.values())  # copies of one text are one example
-    unlabelled = list({u.tobytes(): u for u in unlabelled}.values())
     if not positive or not unlabelled:
         return Model({}, -4.0)
-    names, df_p = np.unique(np.concatenate(positive), return_counts=True)
-    in_u, df = np.unique(np.concatenate(unlabelled), return_counts=True)
-    df_u = np.zeros(len(names))
-    _, at, where = np.intersect1d(names, in_u, return_indices=True)
-    df_u[at] = df[where]
-    share_p, share_u = (df_p + 0.5) / (len(positive) + 1), (df_u + 0.5) / (len(unlabelled) + 1)
-    strength = share_p * np.log(share_p / share_u)
-    usable = (df_p >= max(min(8, 0.4 * len(positive)), 0.015 * len(positive))) & (share_p > 3 * share_u)
-    chosen = names[usable][np.argsort(-strength[usable], kind="stable")[:MAX_FEATURES]]
-    chosen.sort()
-
-    def matrix(rows):
-        out = np.zeros((len(rows), len(chosen)))
-        for i, r in enumerate(rows):
-            at = np.searchsorted(chosen, r)
-            at[at == len(chosen)] = 0
-            if len(chosen):
-                out[i, at[chosen[at] == r]] = 1
-        return out
-
-    xp, xu = matrix(positive), matrix(unlabelled)
-    prior = min(max(prior, 0.01), 0.9)
-    w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    (rp, ip), (ru, iu), p, u = _sparse(positive, chosen), _sparse(unlabelled, chosen), len(positive), len(unlabelled)
+    prior, n = min(max(prior, 0.01), 0.9), len(chosen)
+    w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        gp, gu = xp @ w + b, xu @ w + b
-        sp, su = sigma(gp), sigma(gu)
+        sp, su = sigma(np.bincount(rp, weights=w[ip], minlength=p) + b), sigma(np.bincount(ru, weights=w[iu], minlength=u) + b)
         risk_n = su.mean() - prior * sp.mean()
-        d_pos = d_neg_p = -prior * sp * (1 - sp) / len(gp)
-        d_neg_u = su * (1 - su) / len(gu)
+        d_pos = d_neg_p = -prior * sp * (1 - sp) / p
+        d_neg_u = su * (1 - su) / u
         if risk_n >= 0:
             dp, du = d_pos + d_neg_p, d_neg_u
         else:
             dp, du = -d_neg_p, -d_neg_u
-        grad = np.append(xp.T @ dp + xu.T @ du + decay * w, dp.sum() + du.sum())
+        grad = np.bincount(ip, weights=dp[rp], minlength=n) + np.bincount(iu, weights=du[ru], minlength=n) + decay * w
+        grad = np.append(grad, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return Model(dict(zip(chosen.tolist(), w.tolist())), float(b))
 
 
-FEATURED = pa.schema([("toxic", pa.bool_()), ("names", pa.list_(pa.int64()))])
+FEATURED = pa.schema([("text", pa.int64()), ("names", pa.list_(pa.int64()))])
+
+
+def _featurer(kept: set[int] | None):
+    """(hash of the text, text) -> the features of the text, of those kept if given."""
+
+    def run(batches):
+        memo = _Memo(word_features if kept is None else lambda word: [f for f in word_features(word) if f in kept])
+        for batch in batches:
+            yield arrow(FEATURED, [batch.column(0), [sorted(features(t, memo)) for t in batch.column(1).to_pylist()]])
+
+    return run
+
+
+COUNTED = pa.schema([("name", pa.int64()), ("n", pa.int64())])
+
+
+def _counter(kept: set[int]):
+    """Texts -> the number of texts with each kept feature, once for a task; under the name -1, of all texts."""
+
+    def run(batches):
+        memo, n = _Memo(lambda word: [f for f in word_features(word) if f in kept]), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n.update(features(text, memo))
+            n[-1] += batch.num_rows
+        yield arrow(COUNTED, [list(n.keys()), list(n.values())])
+
+    return run
 
 
-def _featurer(batches):
-    memo = _Memo(word_features)
-    for batch in batches:
-        yield arrow(FEATURED, [batch.column(0), [sorted(features(t, memo)) for t in batch.column(1).to_pylist()]])
+def _arrays(texts: DataFrame, kept: set[int] | None) -> list[np.ndarray]:
+    """Feature arrays of a bounded number of texts; copies of one text are one example."""
+    rows = texts.select(F.xxhash64("text").alias("key"), "text").mapInArrow(_featurer(kept), "text long, names array<long>").toArrow()
+    arrays = [np.asarray(n.values) if n.values is not None else np.zeros(0, np.int64) for n in rows.column("names")]
+    return list(dict(zip(rows.column("text").to_pylist(), arrays)).values())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on docs (doc_id, text) and labels (doc_id, toxic); both may be cut to a fold first.
 
-    The fit sees MAX_POSITIVE confirmed toxic and MAX_UNLABELLED texts at most; all else follows from the weights."""
+    The fit sees MAX_POSITIVE confirmed toxic and MAX_UNLABELLED texts at most; what share of texts has a feature is
+    counted over all of docs, where a text that holds FREQUENT of all rows counts once. Labels of a null doc_id or toxic
+    are ignored, of several labels of a document the largest counts; rows of a null doc_id can't be in either sample."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.avg("toxic")).first()[0]
     order = F.xxhash64("doc_id", F.lit(17))
-    positive = known.where("toxic = 1").join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("toxic"))
-    free = docs.where("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(MAX_UNLABELLED).select("doc_id", F.lit(False).alias("toxic"))
-    sample = positive.unionByName(free)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    rows = texts.mapInArrow(_featurer, "toxic boolean, names array<long>").toArrow()
-    kind, names = rows.column("toxic").to_numpy(), rows.column("names")
-    arrays = [np.asarray(n.values) if n.values is not None else np.zeros(0, np.int64) for n in names]
-    return fit([a for a, k in zip(arrays, kind) if k], [a for a, k in zip(arrays, kind) if not k], prior or 0.0)
+    sampled = lambda ids, n: docs.select("doc_id", "text").join(F.broadcast(ids.orderBy(order, "doc_id").limit(n)), "doc_id")
+    positive = _arrays(sampled(known.where("toxic = 1").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id"), MAX_POSITIVE), None)
+    names, least = supported(positive)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    frequent = same.where(F.col("n") > F.greatest(F.lit(1), docs.select(F.count("*") * FREQUENT).scalar()))  # 1 / FREQUENT rows at most
+    once = docs.select("doc_id", "text", key.alias("own")).join(F.broadcast(frequent), F.col("own") == F.col("key"), "left")
+    once = once.where("key is null or doc_id = first").select("text")
+    counts = once.mapInArrow(_counter(set(names.tolist())), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()
+    counts = {r["name"]: r["n"] for r in counts}
+    share = np.array([counts.get(f, 0) for f in names.tolist()]) / max(1, counts.get(-1, 0))
+    chosen = names[least > share]
+    unlabelled = _arrays(sampled(docs.where("doc_id is not null").select("doc_id"), MAX_UNLABELLED), set(chosen.tolist()))
+    return fit(positive, unlabelled, chosen, prior or 0.0)
 
 
 def _scorer(model: Model):

@@ -58,10 +58,53 @@ def test_non_negative_risk_steps_back():
     rng = np.random.default_rng(1)
     positive = [np.array([1, *rng.integers(100, 200, 3)]) for _ in range(40)]
     unlabelled = [np.array([2, *rng.integers(100, 200, 3)]) for _ in range(60)] + positive[:5]
-    model = toxicity.fit(positive, unlabelled, 0.1)
+    names, least = toxicity.supported(positive)
+    assert 1 in names and least[names == 1] < 1 and least.min() > 0
+    model = toxicity.fit(positive, unlabelled, names, 0.1)
     assert model.weights[1] > 2 and model.bias < 0
 
 
+def slow_fit(positive, unlabelled, chosen, prior, steps=1200):
+    """The same risk and steps, text by text and feature by feature."""
+    names = [*chosen.tolist(), None]
+    w, m, v = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0)
+    w[None] = math.log(prior / (1 - prior))
+    sigma = lambda x: 1 / (1 + math.exp(-(w[None] + sum(w[f] for f in x if f in w))))
+    for t in range(1, steps + 1):
+        p, u = [sigma(x) for x in positive], [sigma(x) for x in unlabelled]
+        forward = sum(u) / len(u) - prior * sum(p) / len(p) >= 0
+        grad = {f: 3e-6 * w[f] if f is not None else 0.0 for f in names}
+        for rows, s, d in ((positive, p, -prior * (2 if forward else -1)), (unlabelled, u, 1 if forward else -1)):
+            for x, y in zip(rows, s):
+                for f in [*x, None]:
+                    if f in grad:
+                        grad[f] += d * y * (1 - y) / len(rows)
+        for f in names:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * grad[f], 0.999 * v[f] + 0.001 * grad[f] ** 2
+            w[f] -= 0.05 * (m[f] / (1 - 0.9**t)) / (math.sqrt(v[f] / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def test_fit_against_slow():
+    rng = np.random.default_rng(3)
+    draw = lambda n, low, high: [np.unique(rng.integers(low, high, 4)) for _ in range(n)]
+    positive, unlabelled = draw(9, 0, 8), draw(20, 2, 14)
+    chosen = np.arange(0, 6)
+    model, slow = toxicity.fit(positive, unlabelled, chosen, 0.2, steps=60), slow_fit(positive, unlabelled, chosen, 0.2, 60)
+    assert model.bias == pytest.approx(slow[None], abs=1e-6) and model.weights == pytest.approx({f: slow[f] for f in range(6)}, abs=1e-6)
+
+
+def test_toxicity_of_copies_by_the_thousand(spark):
+    """Half of all rows are copies of one toxic text: its words tell as before."""
+    rows = toxic_rows(600)
+    bad = next(t for i, t, y in rows if y)
+    docs = frame(spark, [(i, t) for i, t, _ in rows] + [(10_000 + i, bad) for i in range(600)])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 2 == 0 or y], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels), "doc_id", name="p").collect()
+    truth = {i: y for i, _, y in rows}
+    assert np.mean([(r.p >= 0.7) == bool(truth.get(r.doc_id, 1)) for r in got]) >= 0.97
+
+
 LANGUAGES = {"aa": ["zor", "kel", "mish", "tav", "orn"], "bb": ["aqui", "luma", "eso", "ndo", "rapi"], "cc": ["chw", "stry", "blf", "ngw", "pth"]}
 
 
