@@ -132,7 +132,10 @@ def _enough(seeds: Seeds, flat: np.ndarray, item: np.ndarray, first: np.ndarray,
     return out
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_seeds", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_seeds", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+
+
+SCHEMA = "doc_id long, text_hash long, item_id long, score double, n_seeds long, start long, stop long"
 
 
 def _aligner(seeds: Seeds, threshold: float):
@@ -141,7 +144,7 @@ def _aligner(seeds: Seeds, threshold: float):
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, hashes, texts = (c.to_pylist() for c in batch.columns)
             for lo, hi in sub_batches(texts, 2 << 20):
                 flat, starts, ends, doc, at, item, place = seeds.read(texts[lo:hi])
                 # Hits on near diagonals of a text and item share a window, which covers what each of them can reach.
@@ -161,19 +164,19 @@ def _aligner(seeds: Seeds, threshold: float):
                 for d, k, score, n, a, b in zip(doc.tolist(), item.tolist(), scores, hits.tolist(), (first - starts[doc]).tolist(), (last - starts[doc]).tolist()):
                     if score >= threshold and (score, n, a, b) > best.get((d, k), (0.0,)):
                         best[d, k] = (score, n, a, b)
-                rows = [(ids[lo + d], seeds.ids[k], *found) for (d, k), found in best.items()]
+                rows = [(ids[lo + d], hashes[lo + d], seeds.ids[k], *found) for (d, k), found in best.items()]
                 yield arrow(FOUND, [list(c) for c in zip(*rows)] if rows else [[] for _ in FOUND])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, width: int = 3) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds, start, stop) for each item found in a document.
+    """(doc_id, text_hash, item_id, score, n_seeds, start, stop) for each item found in a document.
 
-    score: the best alignment as a share of the item's full score; n_seeds: seed hits in the window, words start to
+    text_hash: xxhash64 of the text, which with doc_id tells rows apart that share a doc_id or have none; score: the best alignment as a share of the item's full score; n_seeds: seed hits in the window, words start to
     stop of the document. Null and empty texts match nothing, nor do items of fewer than `width` words. Repeated
     items are found each; repeated rows of docs repeat their findings. Empty tables give an empty result."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     passes, out = int(size // MAX_WORDS) + 1, None
@@ -182,9 +185,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
         seeds = Seeds([tuple(r) for r in items], width)
         if not seeds.tokens:
             continue
-        found = docs.mapInArrow(_aligner(seeds, threshold), "doc_id long, item_id long, score double, n_seeds long, start long, stop long")
+        found = docs.mapInArrow(_aligner(seeds, threshold), SCHEMA)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long, start long, stop long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

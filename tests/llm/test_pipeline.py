@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from rillcep.llm import catalogue
-from tests.llm.common import awkward, empty, frame
+from tests.llm.common import awkward, empty, frame, prose
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -30,12 +30,35 @@ def test_awkward_stage(spark, name):
     out = stage(spark, docs, SF)
     if name == "near_dedup":
         kept = [r.doc_id for r in out.collect()]
-        assert kept.count(1) == 1 and 2 not in kept and kept.count(None) == 2 and {4, 5, 6, 7, 10, 11} <= set(kept)
+        assert kept.count(1) == 1 and 2 not in kept and kept.count(None) == 2 and out.columns == docs.columns and {4, 5, 6, 7, 10, 11} <= set(kept)
     elif name != "packing":
         assert out.columns == docs.columns and out.count() == len(awkward())
     assert stage(spark, empty(spark), SF).count() == 0
 
 
+def test_near_dedup_of_clashing_ids(spark):
+    """One doc_id with two texts, repeated rows, and rows without a doc_id."""
+    a, b, c = prose(40, 1), prose(40, 2), prose(40, 3)
+    out = corpus_pipeline.near_dedup(spark, frame(spark, [(1, a), (1, b), (1, a), (2, c), (3, c + " more"), (None, c), (None, c), (None, a)]), SF)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (1, b), (2, c), (None, c), (None, a)], key=str)
+
+
+def test_decontamination_by_row(spark):
+    """A contaminated row without a doc_id goes, and of two rows of one doc_id only the contaminated one."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    bad, clean = prose(30, 1) + " " + item, prose(60, 2)
+    out = corpus_pipeline.decontamination(spark, frame(spark, [(None, bad), (None, clean), (5, bad), (5, clean), (6, None)]), SF)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, clean), (5, clean), (6, None)], key=str)
+
+
+def test_passages_of_short_words(spark):
+    """Sixty short words are far under 400 bytes, and a passage all the same."""
+    passage = " ".join("ab cd e fg"[i % 8 :][:2].strip() or "x" for i in range(60)) + " " + prose(3, 9)
+    rows = [(1, f"{prose(20, 1)} {passage} {prose(20, 2)}"), (2, f"{prose(20, 3)}  {passage}"), (3, prose(80, 4)), (4, None)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, frame(spark, rows), SF).collect()}
+    assert got == {1: f"{prose(20, 1)}  {prose(20, 2)}", 2: f"{prose(20, 3)}  ", 3: rows[2][1], 4: None} and len(passage.encode()) < 240
+
+
 @pytest.mark.parametrize("name", list(catalogue.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()

@@ -1,8 +1,10 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillcep.llm import suffix
 from tests.llm.common import awkward, empty, frame, prose
@@ -37,6 +39,41 @@ def test_against_brute_force(spark, monkeypatch, width, hot):
     assert got == brute(rows, width)
 
 
+def brute_words(rows, width):
+    """(doc_id, maximal runs of words under repeated windows, text without them)."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(tuple(w[k : k + width]) for _, t in texts for w in [t.split()] for k in range(len(w) - width + 1))
+    out = []
+    for i, t in texts:
+        w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        covered = np.zeros(len(w) + 2, dtype=int)
+        for k in range(len(w) - width + 1):
+            if seen[tuple(t[a:b] for a, b in w[k : k + width])] > 1:
+                covered[k + 1 : k + width + 1] = 1
+        starts, stops = np.flatnonzero(np.diff(covered) == 1).tolist(), np.flatnonzero(np.diff(covered) == -1).tolist()
+        kept, at = b"", 0
+        for a, b in zip(starts, stops):
+            kept, at = kept + t[at : w[a][0]], w[b - 1][1]
+        out.append((i, list(zip(starts, stops)), (kept + t[at:]).decode()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 0])
+@pytest.mark.parametrize("width", [6, 25])
+def test_words_against_brute_force(spark, monkeypatch, width, hot):
+    """Windows of words: short words, other white space and case between copies, and a passage in twelve documents."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    spaced = "\n".join(prose(40, 50).split())
+    rows = awkward() + shared() + [(300, "a b c " * 30), (301, "x " + "b c a " * 20), (302, spaced), (303, spaced.upper())]
+    want = brute_words(rows, width)
+    df = frame(spark, rows)
+    keys = {r["key"]: r["row"] for r in suffix.keyed_texts(df.drop("row")).select("row", F.struct("doc_id", "text").alias("key")).collect()}
+    found = {bytes(r["row"]): [tuple(p) for p in r["passages"]] for r in suffix.passages(df, width).collect()}
+    assert {bytes(keys[i, t]): runs for (i, t), (_, runs, _) in zip(rows, want) if runs} == found
+    cut = suffix.without_repeats(df, width, "words").collect()
+    assert sorted(((r.doc_id, r.text) for r in cut), key=str) == sorted(((i, text if t is not None else None) for (i, t), (_, _, text) in zip(rows, want)), key=str)
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(3)
     strings = [bytes(rng.integers(97, 99, rng.integers(0, 40)).astype(np.uint8)) for _ in range(300)]

@@ -146,7 +146,7 @@ def test_decontamination_against_every_alignment():
         w = item.split()
         docs += [" x ".join(w), " ".join("z" if i % 3 == 1 else x for i, x in enumerate(w)), " ".join(x for x in w if rng.random() > 0.2), f"{docs[k]} {item}"]
     seeds = decontaminate.Seeds(list(enumerate(items)), 3)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], ["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array([0] * len(docs)), pa.array(docs)], ["doc_id", "text_hash", "text"])
     got = {(r["doc_id"], r["item_id"]): r["score"] for b in decontaminate._aligner(seeds, 0.5)([batch]) for r in b.to_pylist()}
     want = {}
     for d, doc in enumerate(docs):
