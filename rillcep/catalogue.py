@@ -19,7 +19,7 @@ KINDS = {"Click": "click", "View": "view", "Purchase": "purchase", "Signup": "si
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-BASE = "WITH e AS (SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms FROM events)"
+BASE = "WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms FROM events)"
 #: Orders used below: of a user's events, and of all.
 U, G = "PARTITION BY user_id ORDER BY us, event_id", "ORDER BY us, event_id"
 
@@ -128,8 +128,36 @@ add("win_session", "from E#window.session(6 hours, user_id) select user_id, coun
 add("win_delay", "from E#window.delay(1 hour) select event_id, eventTimestamp() as at insert into O", "SELECT event_id, (us + 3600000000) // 1000 AS at FROM e")
 add("win_cron", "from E#window.cron('0 0 * * * ?') select count() as n, max(event_id) as last insert into O", "SELECT count(*) AS n, max(event_id) AS last FROM e GROUP BY us // 3600000000")
 add("win_sort", "partition with (user_id of E) begin from E#window.sort(3, cents, 'desc') select event_id, sum(cents) as top insert into O; end", f"+ r AS (SELECT event_id, list(cents) {RUN} AS l FROM e) SELECT event_id, CAST(list_sum(list_sort(l, 'DESC')[1:3]) AS BIGINT) AS top FROM r")
-add("win_frequent", "from E#window.frequent(3, event_type) select event_id, event_type insert into O", None)
-add("win_lossy_frequent", "from E#window.lossyFrequent(0.1, 0.01, event_type) select event_id, event_type insert into O", None)
+# Both walk through the events one by one, with the counters held as a list.
+WALK = "+ o AS (SELECT event_id, event_type, row_number() OVER (ORDER BY us, event_id) AS i FROM e)"
+KNOWN = "list_contains([h.k for h in held], o.event_type)"
+add(
+    "win_frequent",
+    "from E#window.frequent(3, event_type) select event_id, event_type insert into O",
+    f"""{WALK}, walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(k VARCHAR, n BIGINT)[]) AS held, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event_type, false AS taken
+  UNION ALL
+  SELECT o.i, CASE
+      WHEN {KNOWN} THEN [{{'k': h.k, 'n': h.n + (h.k = o.event_type)::BIGINT}} for h in held]
+      WHEN len(held) < 3 THEN list_append(held, {{'k': o.event_type, 'n': CAST(1 AS BIGINT)}})
+      WHEN len([h.k for h in held if h.n > 1]) < 3 THEN list_append([{{'k': h.k, 'n': h.n - 1}} for h in held if h.n > 1], {{'k': o.event_type, 'n': CAST(1 AS BIGINT)}})
+      ELSE [{{'k': h.k, 'n': h.n - 1}} for h in held] END,
+    o.event_id, o.event_type, {KNOWN} OR len(held) < 3 OR len([h.k for h in held if h.n > 1]) < 3
+  FROM walk w JOIN o ON o.i = w.i + 1)
+SELECT event_id, event_type FROM walk WHERE taken""",
+)
+add(
+    "win_lossy_frequent",
+    "from E#window.lossyFrequent(0.1, 0.01, event_type) select event_id, event_type insert into O",
+    f"""{WALK}, walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(k VARCHAR, n BIGINT, late BIGINT)[]) AS held, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event_type
+  UNION ALL
+  SELECT i, [h for h in held if i % 100 <> 0 OR h.n + h.late > i // 100], event_id, event_type FROM (
+    SELECT o.i, CASE WHEN {KNOWN} THEN [{{'k': h.k, 'n': h.n + (h.k = o.event_type)::BIGINT, 'late': h.late}} for h in held]
+      ELSE list_append(held, {{'k': o.event_type, 'n': CAST(1 AS BIGINT), 'late': (o.i + 99) // 100 - 1}}) END AS held, o.event_id, o.event_type
+    FROM walk w JOIN o ON o.i = w.i + 1))
+SELECT event_id, event_type FROM walk WHERE len([h.k for h in held if h.k = event_type AND h.n >= 0.09 * i]) > 0""",
+)
 add("win_named", "define window W (event_id long, user_id long, cents long) length(10); from E select event_id, user_id, cents insert into W; from W select event_id, sum(cents) as total insert into O", f"SELECT event_id, CAST(sum(cents) OVER ({G} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM e")
 
 # Output kinds, rates, chunks
@@ -197,9 +225,19 @@ add("pat_correlated", BYUSER.replace("{p}", "every a=E[event_type == 'click'] ->
 add("pat_within", BYUSER.replace("{p}", f"{EVERY} within 6 hours select a.event_id as a, b.event_id as b insert into O;"), f"+ n AS (SELECT event_id, us, event_type, {FIRST.replace('{t}', 'purchase')} AS b FROM e) SELECT x.event_id AS a, x.b FROM n x JOIN e y ON x.b = y.event_id WHERE x.event_type = 'click' AND y.us - x.us <= 21600000000")
 add("pat_cross_stream", "from every a=Click[cents > 9000] -> b=Purchase[cents > 9000] select a.event_id as id_1, b.event_id as id_2 insert into O", f"SELECT event_id AS id_1, b AS id_2 FROM (SELECT event_id, event_type, cents, first_value(CASE WHEN event_type = 'purchase' AND cents > 9000 THEN event_id END IGNORE NULLS) OVER ({G} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM e) WHERE event_type = 'click' AND cents > 9000 AND b IS NOT NULL")
 add("pat_every_group", BYUSER.replace("{p}", "every (a=E[event_type == 'click'] -> b=E[event_type == 'purchase']) select a.event_id as a, b.event_id as b insert into O;"), f"+ n AS (SELECT user_id, event_id, event_type, {FIRST.replace('{t}', 'purchase')} AS b FROM e), x AS (SELECT * FROM n WHERE event_type = 'click' AND b IS NOT NULL) SELECT min(event_id) AS a, b FROM x GROUP BY b")
-add("pat_count", BYUSER.replace("{p}", "every a=E[event_type == 'click']<2> -> b=E[event_type == 'purchase'] select a[0].event_id as a0, a[1].event_id as a1, b.event_id as b insert into O;"), None)
-add("pat_count_min", BYUSER.replace("{p}", "every a=E[event_type == 'click']<2:> -> b=E[event_type == 'purchase'] select a[0].event_id as first, a[last].event_id as last, b.event_id as b insert into O;"), None)
-add("pat_count_max", BYUSER.replace("{p}", "every a=E[event_type == 'click']<1:3> -> b=E[event_type == 'purchase'] select a[0].event_id as first, a[last].event_id as last, b.event_id as b insert into O;"), None)
+# A user's clicks by the purchase that closes their stretch: of two, all pairs in a row; of two or more, all since the
+# last match, where a single one waits for the next stretch; of one to three, a new attempt at every third.
+CLOSED = """+ s AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM e WHERE event_type IN ('click', 'purchase')),
+closing AS (SELECT user_id, seg, event_id AS b FROM s WHERE event_type = 'purchase'),
+clicks AS (SELECT user_id, seg, event_id, row_number() OVER (PARTITION BY user_id, seg ORDER BY us, event_id) AS pos, lead(event_id) OVER (PARTITION BY user_id ORDER BY us, event_id) AS next_id, lead(seg) OVER (PARTITION BY user_id ORDER BY us, event_id) AS next_seg FROM s WHERE event_type = 'click')"""
+add("pat_count", BYUSER.replace("{p}", "every a=E[event_type == 'click']<2> -> b=E[event_type == 'purchase'] select a[0].event_id as a0, a[1].event_id as a1, b.event_id as b insert into O;"), f"{CLOSED} SELECT c.event_id AS a0, c.next_id AS a1, p.b FROM clicks c JOIN closing p ON c.user_id = p.user_id AND c.next_seg = p.seg")
+add("pat_count_min", BYUSER.replace("{p}", "every a=E[event_type == 'click']<2:> -> b=E[event_type == 'purchase'] select a[0].event_id as first, a[last].event_id as last, b.event_id as b insert into O;"), f"""{CLOSED}, parts AS (SELECT p.user_id, p.seg, p.b, count(c.event_id) AS n, arg_min(c.event_id, c.pos) AS first, arg_max(c.event_id, c.pos) AS last FROM closing p LEFT JOIN clicks c USING (user_id, seg) GROUP BY ALL),
+walk AS (SELECT user_id, seg, b, n >= 2 AS enough, first, last, CASE WHEN n = 1 THEN first END AS held FROM parts WHERE seg = 0
+  UNION ALL
+  SELECT p.user_id, p.seg, p.b, p.n + (w.held IS NOT NULL)::INT >= 2, coalesce(w.held, p.first), p.last, CASE WHEN p.n + (w.held IS NOT NULL)::INT = 1 THEN coalesce(w.held, p.first) END
+  FROM walk w JOIN parts p ON p.user_id = w.user_id AND p.seg = w.seg + 1)
+SELECT first, last, b FROM walk WHERE enough""")
+add("pat_count_max", BYUSER.replace("{p}", "every a=E[event_type == 'click']<1:3> -> b=E[event_type == 'purchase'] select a[0].event_id as first, a[last].event_id as last, b.event_id as b insert into O;"), f"{CLOSED}, runs AS (SELECT user_id, seg, pos, event_id AS first, coalesce(lead(event_id, 2) OVER w, lead(event_id, 1) OVER w, event_id) AS last FROM clicks WINDOW w AS (PARTITION BY user_id, seg ORDER BY pos)) SELECT first, last, b FROM runs JOIN closing USING (user_id, seg) WHERE pos % 2 = 1")
 add("pat_and", BYUSER.replace("{p}", "every a=E[event_type == 'click'] -> b=E[event_type == 'purchase'] and c=E[event_type == 'view'] select a.event_id as a, b.event_id as b, c.event_id as c insert into O;"), f"SELECT event_id AS a, b, c FROM (SELECT event_id, event_type, {FIRST.replace('{t}', 'purchase')} AS b, {FIRST.replace('{t}', 'view')} AS c FROM e) WHERE event_type = 'click' AND b IS NOT NULL AND c IS NOT NULL")
 add("pat_or", BYUSER.replace("{p}", "every a=E[event_type == 'click'] -> b=E[event_type == 'purchase'] or c=E[event_type == 'view'] select a.event_id as a, b.event_id as b, c.event_id as c insert into O;"), f"SELECT event_id AS a, CASE WHEN c IS NULL OR b < c THEN b END AS b, CASE WHEN b IS NULL OR c < b THEN c END AS c FROM (SELECT event_id, event_type, {FIRST.replace('{t}', 'purchase')} AS b, {FIRST.replace('{t}', 'view')} AS c FROM e) WHERE event_type = 'click' AND (b IS NOT NULL OR c IS NOT NULL)")
 add("pat_absent_for", BYUSER.replace("{p}", "every a=E[event_type == 'click'] -> not E[event_type == 'purchase'] for 1 day select a.event_id as a insert into O;"), f"+ n AS (SELECT event_id, us, event_type, {FIRST.replace('{t}', 'purchase')} AS b FROM e) SELECT x.event_id AS a FROM n x LEFT JOIN e y ON x.b = y.event_id WHERE x.event_type = 'click' AND (y.us IS NULL OR y.us >= x.us + 86400000000)")
