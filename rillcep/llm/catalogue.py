@@ -17,7 +17,7 @@ QUERIES = {
     "op10_reply_tree_chat": chat.query,
 }
 
-_SQL = {"op4_url_filter": urlfilter.oracle, "op10_reply_tree_chat": chat.oracle}
+_SQL = {"op2_graph_embedding_dedup": vectors.oracle, "op4_url_filter": urlfilter.oracle, "op5_suffix_dedup": suffix.oracle, "op9_minmax_near_dedup": minhash.oracle, "op10_reply_tree_chat": chat.oracle}
 
 
 def __getattr__(name: str):

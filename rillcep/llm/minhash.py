@@ -177,3 +177,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, val
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: links at Jaccard 0.85 on five-word shingles over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
+
+
+def oracle() -> str:
+    """The same in SQL: every pair of documents with a common shingle."""
+    return r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[k + 1 : k + 5], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS to_id FROM ways UNION SELECT doc_id, b FROM reach JOIN ways ON a = to_id),
+groups AS (SELECT doc_id, min(to_id) AS low FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN groups USING (doc_id)
+"""

@@ -427,3 +427,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         discard(t)
     found = passages(docs, 51).select("row", F.size("passages").cast("long").alias("n_passages"))
     return kept.join(found, "row", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
+
+
+def oracle() -> str:
+    """The same in SQL: every window of 400 bytes, and of 51 words."""
+    return r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+twice AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY w) AS n FROM (SELECT r, k, md5_number(substr(h, 2 * k + 1, 800)) AS w FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS k FROM texts WHERE length(h) >= 800))) WHERE n > 1),
+marked AS (SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= 400 THEN 0 ELSE 1 END AS fresh FROM twice),
+runs AS (SELECT r, n, min(k) AS a, max(k) + 400 AS b FROM (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS n FROM marked) GROUP BY r, n),
+gaps AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS prior FROM runs),
+cut AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS kept FROM gaps JOIN texts USING (r) GROUP BY r),
+again AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY w) AS n FROM (SELECT r, k, md5_number(array_to_string(words[k + 1 : k + 51], ' ')) AS w FROM (SELECT r, words, unnest(range(0, len(words) - 50)) AS k FROM texts WHERE len(words) > 50))) WHERE n > 1),
+passages AS (SELECT r, count(*) AS n_passages FROM (SELECT r, k - lag(k) OVER (PARTITION BY r ORDER BY k) AS step FROM again) WHERE step IS NULL OR step > 51 GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN cut.r IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256, coalesce(n_passages, 0) AS n_passages
+FROM texts LEFT JOIN cut USING (r) LEFT JOIN passages USING (r)
+"""

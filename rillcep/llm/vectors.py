@@ -383,3 +383,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> tuple[DataFr
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: all embeddings, cosine 0.95."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))[0]
+
+
+def oracle() -> str:
+    """The same in SQL, over all pairs. n_found is n_links: the search is held to find all links there."""
+    return r"""
+WITH RECURSIVE fine AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+ways AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON len(x.v) = len(y.v) AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+reach AS (SELECT a AS vec_id, a AS to_id FROM ways UNION SELECT vec_id, b FROM reach JOIN ways ON a = to_id),
+groups AS (SELECT vec_id, min(to_id) AS low FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM ways GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept, coalesce(n, 0) AS n_found FROM embeddings LEFT JOIN groups USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""

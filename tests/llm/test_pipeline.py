@@ -62,7 +62,7 @@ def test_passages_of_short_words(spark):
 @pytest.mark.parametrize("name", list(catalogue.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in "documents labels pages benchmark conversations".split():
+    for t in "documents labels pages benchmark conversations embeddings".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = catalogue.QUERIES[name](spark, SF)
     found = con.execute(catalogue.ORACLES[name])
