@@ -1,21 +1,23 @@
-"""Katz backoff bigram model (Katz, 1987) with Good-Turing discounts.
+"""Katz backoff model of any order (Katz, 1987) with Good-Turing discounts, a discount for each order.
 
-    P(w | h) = d(c(h w)) c(h w) / c(h)   if h w was seen,   else   a(h) P(w)
-    P(w)     = d(c(w)) c(w) / N          if w was seen,     else   what the discounts left
-    a(h)     = (1 - sum over seen w of P(w | h)) / (1 - sum over seen w of P(w))
+    P(w | u v) = d(c(u v w)) c(u v w) / c(u v)   if u v w was seen,   else   a(u v) P(w | v),   and so on down to
+    P(w)       = d(c(w)) c(w) / N                if w was seen,       else   what the discounts left
+    a(h)       = (1 - sum over seen w of P(w | h)) / (1 - sum over seen w of P(w | h without its first word))
 
 so that every P(. | h) sums to one over the V known tokens and one unknown. Counts over K_GT keep their value. A
-history whose counts are all over K_GT has nothing left: its probabilities are scaled by c(h) / (c(h) + 1).
-
-Documents travel as blocks of packed token numbers. Two exchanges serve a block: its distinct words go to buckets of
-words and come back with their counts; its distinct bigrams go to buckets of histories and come back with their
-counts and the histories' weights. Histories with more than a bucket's share of tokens are spread over all buckets
-by their second word, and only their sums meet. The buckets also write the model's partitioned tables.
+history whose counts are all over K_GT has nothing left: its probabilities are scaled by c(h) / (c(h) + 1). Before a
+text's first word stands a start, and no history reaches beyond it. A history that was never seen isn't used.
+
+Documents travel as blocks of packed token numbers. One exchange for each order serves a block: its distinct words go
+to buckets of words and come back numbered, with their counts; its distinct n-grams go to buckets of histories and come
+back with their counts, the histories' weights and, where a longer order follows, their numbers, which are the longer
+one's histories. Numbers are exact: no two n-grams share one. Histories with more than a bucket's share of tokens are
+spread over all buckets by their last word, and only their sums meet. The buckets also write the partitioned tables.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +27,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillcep.llm.common import arrow, discard, held_out, mix64, staged, sub_batches, table, words_of
+from rillcep.llm.common import arrow, held_out, mix64, staged, sub_batches, table, words_of
 
 K_GT = 5
-#: Bytes of text in a block, and buckets of each exchange for each block.
-BLOCK, SPREAD = 8 << 20, 3
+#: Least bytes of text in a block, and buckets of each exchange for each block. Blocks grow with the root of the corpus,
+#: so that the messages between blocks and buckets (their product) grow in proportion to it.
+BLOCK, SPREAD, GROWTH = 8 << 20, 3, 3000
+#: The number of the start; words and n-grams are numbered from 1.
+START = 0
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers of up to 64 bits as bytes, as wide as the largest needs, sorted by significance and compressed."""
+    raw = np.ascontiguousarray(values, dtype="<u8")
+    width = max(1, -(-int(raw.max()).bit_length() // 8)) if len(raw) else 1
+    return bytes([width]) + zstandard.compress(raw.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
 
-START = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    out = np.zeros((raw.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = raw.T
+    return out.view("<i8").ravel()
 
-def packed(values: np.ndarray, kind: str) -> bytes:
-    """A whole-number or float array as bytes, sorted by significance and compressed."""
-    raw = np.ascontiguousarray(values, dtype=kind)
-    return zstandard.compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes(), 1)
 
+def packed_floats(values: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(values, dtype="<f8")
+    return zstandard.compress(raw.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
-def unpacked(data: bytes, kind: str) -> np.ndarray:
+
+def unpacked_floats(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<f8").ravel()
+
+
+def packed_rising(values: np.ndarray) -> bytes:
+    return packed(np.diff(values, prepend=0))
+
+
+def unpacked_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
 
 
 BLOCKS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("known", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary())])
@@ -71,7 +95,7 @@ def _blocker(limit: int):
             rank[by] = np.arange(len(by))
             number = rank[number]
             learned = np.repeat(~np.array(held, dtype=bool), sizes)
-            row = [at, np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs]).tobytes(), np.array(held, dtype=bool).tobytes(), sizes.astype("<u4").tobytes(), vocabulary[by].tobytes(), packed(np.bincount(number[learned], minlength=len(by)), "<u4"), packed(number, "<u4")]
+            row = [at, np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs]).tobytes(), np.array(held, dtype=bool).tobytes(), packed(sizes), vocabulary[by].tobytes(), packed(np.bincount(number[learned], minlength=len(by))), packed(number)]
             at, size = at + 1, 0
             docs.clear(), held.clear(), arrays.clear(), names.clear()
             return arrow(BLOCKS, [[v] for v in row])
@@ -108,9 +132,9 @@ def _word_sender(buckets: int):
     def run(batches):
         for batch in batches:
             for block, vocabulary, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, counts = np.frombuffer(vocabulary, np.uint64), unpacked(counts, "<u4")
+                keys, counts = np.frombuffer(vocabulary, np.uint64), unpacked(counts)
                 for bucket, at in _by_bucket(keys, buckets):
-                    yield arrow(WORDS, [[bucket], [block], [keys[at].tobytes()], [packed(counts[at], "<u4")]])
+                    yield arrow(WORDS, [[bucket], [block], [keys[at].tobytes()], [packed(counts[at])]])
 
     return run
 
@@ -131,28 +155,46 @@ def _buckets(batches):
 
 #: What buckets write: answers to blocks, tables of the model, and whole-corpus sums.
 REPLIES = pa.schema(
-    [("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in "abcdef"), ("sums", pa.list_(pa.int64()))]
+    [("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in "abcdefgh"), ("sums", pa.list_(pa.int64()))]
     + [("asks", pa.list_(pa.struct([("block", pa.int64()), ("own", pa.binary())])))]
     + [("hot", pa.list_(pa.struct([("key", pa.int64()), ("kept", pa.float64()), ("lower", pa.float64()), ("total", pa.int64()), ("blocks", pa.list_(pa.int64()))])))]
 )
-REPLY = "kind string, bucket long, block long, a binary, b binary, c binary, d binary, e binary, f binary, sums array<long>, asks array<struct<block: long, own: binary>>, hot array<struct<key: long, kept: double, lower: double, total: long, blocks: array<long>>>"
+REPLY = "kind string, bucket long, block long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, sums array<long>, asks array<struct<block: long, own: binary>>, hot array<struct<key: long, kept: double, lower: double, total: long, blocks: array<long>>>"
 
 
 def _reply(rows: list[dict]):
     return arrow(REPLIES, [[r.get(f.name) for r in rows] for f in REPLIES])
 
 
-def _word_counter(batches):
-    for bucket, rows in _buckets(batches):
-        keys = [np.frombuffer(r[2], np.uint64) for r in rows]
-        known, number = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(number, weights=np.concatenate([unpacked(r[3], "<u4") for r in rows]), minlength=len(known)).astype(np.int64)
-        parts = np.split(counts[number], np.cumsum([len(k) for k in keys])[:-1])
-        out = [{"kind": "answer", "bucket": bucket, "block": r[1], "a": packed(p, "<i8")} for r, p in zip(rows, parts)]
-        seen = counts > 0
-        out.append({"kind": "unigram", "bucket": bucket, "a": known[seen].tobytes(), "b": packed(counts[seen], "<i8")})
-        out.append({"kind": "sums", "bucket": bucket, "sums": [int(counts.sum()), int(seen.sum()), *(int((counts == r).sum()) for r in range(1, K_GT + 2))]})
-        yield _reply(out)
+def _numbered(counts: np.ndarray, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number of each): frequent ones get small numbers, and each bucket its own."""
+    order = np.argsort(-counts, kind="stable")
+    number = np.empty(len(counts), dtype=np.int64)
+    number[order] = np.arange(len(counts)) * buckets + bucket + 1
+    return order, number
+
+
+def _summed(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by place, exact in 64 bits."""
+    out = np.zeros(size, dtype=np.int64)
+    np.add.at(out, place, values)
+    return out
+
+
+def _word_counter(buckets: int):
+    def run(batches):
+        for bucket, rows in _buckets(batches):
+            keys = [np.frombuffer(r[2], np.uint64) for r in rows]
+            known, at = np.unique(np.concatenate(keys), return_inverse=True)
+            counts = _summed(at, np.concatenate([unpacked(r[3]) for r in rows]), len(known))
+            order, number = _numbered(counts, bucket, buckets)
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            out = [{"kind": "answer", "bucket": bucket, "block": r[1], "a": packed(c), "b": packed(n)} for r, c, n in zip(rows, np.split(counts[at], ends), np.split(number[at], ends))]
+            out.append({"kind": "unigram", "bucket": bucket, "a": known[order].tobytes(), "b": packed(counts[order])})
+            out.append({"kind": "sums", "bucket": bucket, "sums": [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, K_GT + 2))]})
+            yield _reply(out)
+
+    return run
 
 
 def _turing(n: np.ndarray) -> np.ndarray | None:
@@ -204,142 +246,199 @@ class Unigrams:
         return np.where(counts > 0, known, self.unknown)
 
 
-def _joined(vocabulary: bytes, answers, buckets: int) -> np.ndarray:
-    """A block's answers, brought from the buckets' order back to its own."""
-    keys = np.frombuffer(vocabulary, np.uint64)
-    out, by = np.zeros(len(keys), dtype=np.int64), {a["bucket"]: a["a"] for a in answers}
-    for bucket, at in _by_bucket(keys, buckets):
-        out[at] = unpacked(by[bucket], "<i8")
-    return out
-
-
-def _bigrams(sizes: np.ndarray, stream: np.ndarray, words: int):
-    """(code of each token's bigram in a block, history and token numbers by code); history `words` is the start."""
-    history = np.concatenate([[words], stream[:-1]]).astype(np.int64)
-    history[np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)] = words
-    codes, number = np.unique(history * words + stream, return_inverse=True)
-    return number, codes // words, codes % words
+def _runs(values: np.ndarray):
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]]))
+    return first, np.diff(np.append(first, len(values)))
 
 
-def _homes(history: np.ndarray, token: np.ndarray, count: np.ndarray, buckets: int, limit: float):
-    """Bucket of each bigram: by history, or by both words where the history's count is over the limit."""
-    both = np.where(count > limit, history ^ (token * np.uint64(0x9E3779B97F4A7C15)), history)
-    return (mix64(both) % np.uint64(buckets)).astype(np.int64)
+def _discounted(discounts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return discounts[np.minimum(counts, K_GT + 1)] * counts
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What both sides of the bigram exchange know."""
+    """What both sides of the exchanges know. discounts: of each order from the second on, as far as they are known."""
 
     unigrams: Unigrams
     documents: int
     buckets: int
-
-    def open(self, sizes, vocabulary, stream, answers):
-        """(counts of words, number by token, keys and counts of histories, tokens) of a block's distinct bigrams."""
-        keys = np.frombuffer(vocabulary, np.uint64)
-        counts = _joined(vocabulary, answers, self.buckets)
-        sizes, stream = np.frombuffer(sizes, "<u4").astype(np.int64), unpacked(stream, "<u4").astype(np.int64)
-        number, h, w = _bigrams(sizes, stream, len(keys))
-        ext, ext_counts = np.append(keys, np.uint64(START)), np.append(counts, self.documents)
-        home = _homes(ext[h], keys[w], ext_counts[h], self.buckets, self.limit)
-        order = np.lexsort((w, h, home))
-        return keys, counts, sizes, stream, number, h, w, home, order, ext, ext_counts
+    discounts: tuple = ()
 
     @property
     def limit(self) -> float:
         return 2 * max(self.unigrams.total, 1) / self.buckets
 
 
-PAIRS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("histories", pa.binary()), ("meta", pa.binary()), ("tokens", pa.binary()), ("unigram", pa.binary()), ("counts", pa.binary())])
+@dataclass
+class Grams:
+    """A block's distinct n-grams of one order, in the order in which they are sent: by bucket, history and word."""
+
+    number: np.ndarray  # of each token's n-gram, -1 where its history is unknown
+    history: np.ndarray
+    total: np.ndarray  # count of the history
+    word: np.ndarray
+    lower: np.ndarray  # count of the n-gram without its first word
+    lower_total: np.ndarray  # count of the history without its first word
+    lower_full: np.ndarray  # whether that one's probabilities are scaled
+    parts: list  # (bucket, from, to)
+
+
+class Replay:
+    """A block's tokens under the model, one order after the other."""
+
+    def __init__(self, plan: Plan, held: bytes, sizes: bytes, vocabulary: bytes, stream: bytes, answers):
+        self.plan, self.sizes, self.stream = plan, unpacked(sizes), unpacked(stream)
+        self.learned = np.repeat(~np.frombuffer(held, dtype=bool), self.sizes)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        keys, by = np.frombuffer(vocabulary, np.uint64), {a["bucket"]: a for a in answers}
+        self.counts, self.ids = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        for bucket, at in _by_bucket(keys, plan.buckets):
+            self.counts[at], self.ids[at] = unpacked(by[bucket]["a"]), unpacked(by[bucket]["b"])
+        self.order, self.p = 1, plan.unigrams.p(self.counts)[self.stream]
+        # Of the n-grams of the present order: the token's, their counts and numbers, their histories' counts and scaling.
+        self.number, self.count, self.id = self.stream, self.counts, self.ids
+        self.total, self.full = np.full(len(keys), plan.unigrams.total), np.zeros(len(keys), dtype=bool)
+
+    def grams(self) -> Grams:
+        """Those of the next order."""
+        before = np.concatenate([[-1], self.number[:-1]])
+        ids, counts = self.id, self.count
+        if self.order == 1:
+            ids, counts = np.append(ids, START), np.append(counts, self.plan.documents)
+        before[self.starts] = len(self.id) if self.order == 1 else -1
+        at = np.flatnonzero((before >= 0) & (counts[before] > 0))
+        _, first, place = np.unique(before[at] * len(self.counts) + self.stream[at], return_index=True, return_inverse=True)
+        first = at[first]
+        history, total, word = ids[before[first]], counts[before[first]], self.ids[self.stream[first]]
+        both = np.where(total > self.plan.limit, history.view(np.uint64) ^ (word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), history.view(np.uint64))
+        home = (mix64(both) % np.uint64(self.plan.buckets)).astype(np.int64)
+        order = np.lexsort((word, history, home))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        number = np.full(len(self.stream), -1, dtype=np.int64)
+        number[at] = rank[place]
+        first = first[order]
+        lower = self.number[first]
+        start, length = _runs(home[order])
+        parts = list(zip(home[order][start].tolist(), start.tolist(), (start + length).tolist()))
+        return Grams(number, history[order], total[order], word[order], self.count[lower], self.total[lower], self.full[lower], parts)
+
+    def step(self, replies, hots) -> None:
+        """Goes on to the next order, by the buckets' replies to its n-grams."""
+        g, self.order = self.grams(), self.order + 1
+        count, ids, weight = np.zeros(len(g.word), dtype=np.int64), np.zeros(len(g.word), dtype=np.int64), np.zeros(len(g.word))
+        by = {(r["which"], r["bucket"]): r for r in replies or () if r["order"] == self.order}
+        for bucket, a, b in g.parts:
+            counts = by["counts", bucket]
+            count[a:b] = unpacked(counts["a"])
+            if counts["b"] is not None:
+                ids[a:b] = unpacked(counts["b"])
+            weight[a:b] = np.repeat(unpacked_floats(by["weights", bucket]["a"]), _runs(g.history[a:b])[1])
+        for x in hots or ():
+            if x["order"] == self.order:
+                weight[g.history == x["key"]] = x["weight"]
+        scale = np.where(weight < 0, g.total / (g.total + 1.0), 1.0)
+        seen = scale * _discounted(self.plan.discounts[self.order - 2], count) / np.maximum(g.total, 1)
+        at = np.flatnonzero(g.number >= 0)
+        own = g.number[at]
+        self.p[at] = np.where(count[own] > 0, seen[own], np.abs(weight[own]) * self.p[at])
+        self.number, self.count, self.id, self.total, self.full = g.number, count, ids, g.total, weight < 0
+
+
+GRAMS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in ("histories", "lengths", "totals", "lower_totals", "lower_full", "words", "lower", "times"))])
+SENT = "bucket long, block long, histories binary, lengths binary, totals binary, lower_totals binary, lower_full binary, words binary, lower binary, times binary"
+
+
+def _replays(plan: Plan, batches):
+    """(row, replay up to the order of the replies) of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+            replay = Replay(plan, row["held"], row["sizes"], row["vocabulary"], row["stream"], row["answers"])
+            for _ in plan.discounts:
+                replay.step(row["replies"], row["hots"])
+            yield row, replay
 
 
-def _runs(values: np.ndarray):
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return first, np.diff(np.append(first, len(values)))
+def _sender(plan: Plan):
+    """Blocks -> their n-grams of the next order."""
 
+    def run(batches):
+        for row, replay in _replays(plan, batches):
+            g = replay.grams()
+            times = np.bincount(g.number[replay.learned & (g.number >= 0)], minlength=len(g.word))
+            for bucket, a, b in g.parts:
+                start, length = _runs(g.history[a:b])
+                own = a + start
+                yield arrow(GRAMS, [[bucket], [row["block"]], [packed_rising(g.history[own])], [packed(length)], [packed(g.total[own])], [packed(g.lower_total[own])], [packed(g.lower_full[own])], [packed(g.word[a:b])], [packed(g.lower[a:b])], [packed(times[a:b])]])
+
+    return run
+
+
+def _gram_counter(buckets: int, more: bool):
+    """A bucket's distinct n-grams: counts (and numbers, if a longer order follows) back to the blocks, and the learned
+    ones as a row of the model's table."""
 
-def _pair_sender(plan: Plan):
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, held, sizes, vocabulary, stream, answers = (batch.column(k)[i].as_py() for k in range(6))
-                keys, counts, sizes, stream, number, h, w, home, order, ext, ext_counts = plan.open(sizes, vocabulary, stream, answers)
-                learned = np.repeat(~np.frombuffer(held, dtype=bool), sizes)
-                times = np.bincount(number[learned], minlength=len(h))
-                used, first = np.unique(home[order], return_index=True)
-                for bucket, at in zip(used.tolist(), np.split(order, first[1:])):
-                    start, length = _runs(h[at])
-                    own = h[at][start]
-                    meta = np.concatenate([length, ext_counts[own]])
-                    # Five bytes tell a history's continuations apart.
-                    token = keys[w[at]].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    yield arrow(PAIRS, [[bucket], [block], [ext[own].tobytes()], [packed(meta, "<u4")], [token], [packed(counts[w[at]], "<u4")], [packed(times[at], "<u4")]])
+        for bucket, rows in _buckets(batches):
+            blocks, opened = [r[1] for r in rows], [[unpacked_rising(r[2]), *map(unpacked, r[3:])] for r in rows]
+            known, number = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
+            total, lower_total, lower_full = np.zeros((3, len(known)), dtype=np.int64)
+            for column, k in ((total, 2), (lower_total, 3), (lower_full, 4)):
+                column[number] = np.concatenate([o[k] for o in opened])
+            h = np.repeat(number, np.concatenate([o[1] for o in opened]))
+            w, lower, times = (np.concatenate([o[k] for o in opened]) for k in (5, 6, 7))
+            order = np.lexsort((w, h))
+            fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
+            place = np.empty(len(h), dtype=np.int64)
+            place[order] = np.cumsum(fresh) - 1
+            first = order[fresh]
+            c = _summed(place, times, len(first))
+            ids = _numbered(c, bucket, buckets)[1] if more else None
+            out, at = [], 0
+            for block, o in zip(blocks, opened):
+                own = place[at : at + len(o[5])]
+                at += len(o[5])
+                out.append({"kind": "answer", "bucket": bucket, "block": block, "a": packed(c[own]), "b": packed(np.where(c[own] > 0, ids[own], 0)) if more else None})
+            seen = c > 0
+            learned = first[seen]
+            size = np.bincount(h[learned], minlength=len(known))
+            asks = [{"block": block, "own": packed_rising(np.searchsorted(known, o[0]))} for block, o in zip(blocks, opened)]
+            out.append({"kind": "gram", "bucket": bucket, "a": packed_rising(known), "b": packed(total), "c": packed(size), "d": packed(w[learned]), "e": packed(c[seen]), "f": packed(lower[learned]), "g": packed(lower_total), "h": packed(lower_full), "asks": asks})
+            out.append({"kind": "sums", "bucket": bucket, "sums": [int((c == r).sum()) for r in range(1, K_GT + 2)]})
+            yield _reply(out)
 
     return run
 
 
-def _open_pairs(row):
-    _, block, histories, meta, tokens, unigram, times = row
-    histories = np.frombuffer(histories, np.uint64)
-    meta = unpacked(meta, "<u4").astype(np.int64)
-    length, total = meta[: len(histories)], meta[len(histories) :]
-    wide = np.zeros((len(tokens) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(tokens, np.uint8).reshape(-1, 5)
-    return block, histories, length, total, wide.view(np.uint64).ravel(), unpacked(unigram, "<u4").astype(np.int64), unpacked(times, "<u4").astype(np.int64)
-
-
-def _pair_counter(batches):
-    """A bucket's distinct bigrams: counts back to the blocks, and the learned ones as a row of the model's table."""
-    for bucket, rows in _buckets(batches):
-        opened = [_open_pairs(r) for r in rows]
-        known, number = np.unique(np.concatenate([o[1] for o in opened]), return_inverse=True)
-        total = np.zeros(len(known), dtype=np.int64)
-        total[number] = np.concatenate([o[3] for o in opened])
-        h = np.repeat(number, np.concatenate([o[2] for o in opened]))
-        w, u, times = (np.concatenate([o[k] for o in opened]) for k in (4, 5, 6))
-        order = np.lexsort((w, h))
-        fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        place = np.empty(len(h), dtype=np.int64)
-        place[order] = np.cumsum(fresh) - 1
-        first = order[fresh]
-        c = np.bincount(place, weights=times, minlength=len(first)).astype(np.int64)
-        seen = c > 0
-        learned = first[seen]
-        out, at, asks = [], 0, 0
-        asks = [{"block": o[0], "own": packed(np.searchsorted(known, o[1]), "<u4")} for o in opened]
-        for o in opened:
-            out.append({"kind": "answer", "bucket": bucket, "block": o[0], "a": packed(c[place[at : at + len(o[4])]], "<u4")})
-            at += len(o[4])
-        size = np.bincount(h[learned], minlength=len(known))
-        continuations = np.ascontiguousarray(w[learned]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-        out.append({"kind": "bigram", "bucket": bucket, "a": known.tobytes(), "b": packed(total, "<i8"), "c": packed(size, "<u4"), "d": continuations, "e": packed(c[seen], "<u4"), "f": packed(u[learned], "<u4"), "asks": asks})
-        out.append({"kind": "sums", "bucket": bucket, "sums": [int((c == r).sum()) for r in range(1, K_GT + 2)]})
-        yield _reply(out)
-
-
-def _weigher(plan: Plan, discounts: np.ndarray):
-    """A row of the bigram table -> backoff weights, negative for a history whose probabilities are scaled."""
+def _weigher(plan: Plan):
+    """A row of an n-gram table -> backoff weights, negative for a history whose probabilities are scaled."""
+    order = len(plan.discounts) + 1
 
     def run(batches):
         for batch in batches:
-            for bucket, known, total, size, c, u, asks in zip(*(x.to_pylist() for x in batch.columns)):
-                known, total, size, c, u = np.frombuffer(known, np.uint64), unpacked(total, "<i8"), unpacked(size, "<u4"), unpacked(c, "<u4").astype(np.int64), unpacked(u, "<u4").astype(np.int64)
+            for bucket, *packs, asks in zip(*(x.to_pylist() for x in batch.columns)):
+                known, (total, size, c, u, lower_total, lower_full) = unpacked_rising(packs[0]), map(unpacked, packs[1:])
                 h = np.repeat(np.arange(len(known)), size)
-                kept = np.bincount(h, weights=discounts[np.minimum(c, K_GT + 1)] * c, minlength=len(known))
-                lower = np.bincount(h, weights=plan.unigrams.p(u), minlength=len(known))
+                if order == 2:
+                    below = plan.unigrams.p(u)
+                else:
+                    scale = np.where(lower_full > 0, lower_total / (lower_total + 1.0), 1.0) / np.maximum(lower_total, 1)
+                    below = scale[h] * _discounted(plan.discounts[-2], u)
+                kept = np.bincount(h, weights=_discounted(plan.discounts[-1], c), minlength=len(known))
+                lower = np.bincount(h, weights=below, minlength=len(known))
                 p = kept / np.maximum(total, 1)
                 full = (total > 0) & (p >= 1 - 1e-12)
                 weight = np.where(total > 0, np.where(full, 1 / (total + 1.0), 1 - p) / np.maximum(1 - lower, 1e-300), 1.0)
                 weight[full] *= -1
                 hot = total > plan.limit
                 weight[hot] = np.nan
-                owns = [(a["block"], unpacked(a["own"], "<u4")) for a in asks]
-                out = [{"kind": "answer", "bucket": bucket, "block": b, "a": packed(weight[own], "<f8")} for b, own in owns]
-                out.append({"kind": "history", "bucket": bucket, "a": known.tobytes(), "b": packed(weight, "<f8")})
+                owns = [(a["block"], unpacked_rising(a["own"])) for a in asks]
+                out = [{"kind": "answer", "bucket": bucket, "block": b, "a": packed_floats(weight[own])} for b, own in owns]
+                out.append({"kind": "history", "bucket": bucket, "a": packed_rising(known), "b": packed_floats(weight)})
                 if hot.any():
                     own = [(b, np.isin(np.arange(len(known)), o)) for b, o in owns]
-                    out.append({"kind": "hot", "bucket": bucket, "hot": [{"key": known.view(np.int64)[k], "kept": kept[k], "lower": lower[k], "total": total[k], "blocks": [b for b, m in own if m[k]]} for k in np.flatnonzero(hot)]})
+                    out.append({"kind": "hot", "bucket": bucket, "hot": [{"key": int(known[k]), "kept": kept[k], "lower": lower[k], "total": int(total[k]), "blocks": [b for b, m in own if m[k]]} for k in np.flatnonzero(hot)]})
                 yield _reply(out)
 
     return run
@@ -348,31 +447,15 @@ def _weigher(plan: Plan, discounts: np.ndarray):
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scorer(plan: Plan, discounts: np.ndarray):
+def _scorer(plan: Plan):
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                docs, known_ids, held, sizes, vocabulary, stream, answers, pairs, hots = (batch.column(k)[i].as_py() for k in range(9))
-                keys, counts, sizes, stream, number, h, w, home, order, ext, ext_counts = plan.open(sizes, vocabulary, stream, answers)
-                c, weight = np.zeros(len(h), dtype=np.int64), np.zeros(len(h))
-                by = {(a["which"], a["bucket"]): a["a"] for a in pairs}
-                used, first = np.unique(home[order], return_index=True)
-                for bucket, at in zip(used.tolist(), np.split(order, first[1:])):
-                    c[at] = unpacked(by["counts", bucket], "<u4")
-                    weight[at] = np.repeat(unpacked(by["weights", bucket], "<f8"), _runs(h[at])[1])
-                for x in hots or ():
-                    weight[ext[h] == np.array([x["key"]]).view(np.uint64)] = x["weight"]
-                total = ext_counts[h]
-                scale = np.where(weight < 0, total / (total + 1.0), 1.0)
-                seen = scale * discounts[np.minimum(c, K_GT + 1)] * c / np.maximum(total, 1)
-                p = np.where(c > 0, seen, np.abs(weight) * plan.unigrams.p(counts[w]))
-                logs = np.log10(np.maximum(p, 1e-300))[number]
-                n, v = plan.unigrams.total, plan.unigrams.distinct
-                base = np.log10((counts[stream] + 0.1) / (n + 0.1 * (v + 1)))
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                known, base, logs = (np.add.reduceat(x, starts) for x in ((counts[stream] > 0).astype(np.int64), base, logs))
-                ids, real = np.frombuffer(docs, "<i8").tolist(), np.frombuffer(known_ids, dtype=bool).tolist()
-                yield arrow(SCORED, [[d if r else None for d, r in zip(ids, real)], np.frombuffer(held, dtype=bool), sizes, known, np.full(len(sizes), n), base, logs])
+        for row, r in _replays(plan, batches):
+            n, v = plan.unigrams.total, plan.unigrams.distinct
+            counts = r.counts[r.stream]
+            base, logs = np.log10((counts + 0.1) / (n + 0.1 * (v + 1))), np.log10(np.maximum(r.p, 1e-300))
+            known, base, logs = (np.add.reduceat(x, r.starts) for x in ((counts > 0).astype(np.int64), base, logs))
+            ids, real = np.frombuffer(row["docs"], "<i8").tolist(), np.frombuffer(row["known"], dtype=bool).tolist()
+            yield arrow(SCORED, [[d if k else None for d, k in zip(ids, real)], np.frombuffer(row["held"], dtype=bool), r.sizes, known, np.full(len(r.sizes), n), base, logs])
 
     return run
 
@@ -386,42 +469,58 @@ def _total(replies: DataFrame, width: int) -> list[int]:
     return [int(x or 0) for x in replies.where("kind = 'sums'").agg(*(F.sum(F.col("sums")[i]) for i in range(width))).first()]
 
 
-def score_documents(docs: DataFrame, held: str, block_bytes: int = BLOCK) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _answered(plan: Plan, order: int, grams: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(replies by block, weights of spread histories by block) of one order. Spread histories' sums meet first."""
+    replies = [r.where("kind = 'answer'").select("block", F.struct(F.lit(order).alias("order"), F.lit(which).alias("which"), "bucket", "a", "b").alias("r")) for which, r in (("counts", grams), ("weights", weights))]
+    spread = weights.where("kind = 'hot'").select(F.explode("hot").alias("x")).select("x.*")
+    sums = spread.groupBy("key").agg(F.sum("kept").alias("kept"), F.sum("lower").alias("lower"), F.first("total").alias("total"))
+    p = F.col("kept") / F.col("total")
+    weight = F.when(p >= 1 - 1e-12, -1 / (F.col("total") + 1.0)).otherwise(1 - p) / F.greatest(1 - F.col("lower"), F.lit(1e-300))
+    hots = spread.select("key", F.explode("blocks").alias("block")).distinct().join(sums.select("key", weight.alias("weight")), "key")
+    return replies[0].unionByName(replies[1]), hots.select("block", F.struct(F.lit(order).alias("order"), "key", "weight").alias("x"))
+
+
+def score_documents(docs: DataFrame, held: str, block_bytes: int | None = None, order: int = 2) -> tuple[DataFrame, dict[str, DataFrame]]:
     """docs (doc_id, text, and the boolean column `held`: true rows aren't learned from) -> (scores, model tables).
 
     scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each input row. A null or
     empty text is its end alone. Repeated rows are learned as often. Where nothing is learned, every token is the
-    unknown one, with P = 1. An empty table gives an empty result; other columns are ignored.
-    Tables, a row per bucket of packed arrays: `unigram` (a words, b counts), `bigram` (a histories, b their counts,
-    c continuations of each, d the continuations, e counts), `history` (a histories, b weights; NaN for spread ones)."""
+    unknown one, with P = 1. An empty table gives an empty result; other columns are ignored. order: words of an n-gram,
+    2 or more.
+    Tables, a row per bucket of packed arrays: `unigram` (a words, b counts; the r-th word of bucket k of K is number
+    r K + k + 1), and for each order `2gram`, ... (a numbers of histories, b their counts, c continuations of each, d their
+    words' numbers, e counts) and `2gram_weights`, ... (a histories, b weights; NaN for spread ones)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{held}`").alias("held"), F.col("text").cast("binary").alias("text"))
+    if block_bytes is None:
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        block_bytes = max(BLOCK, int((GROWTH * size) ** 0.5))
     blocks = staged(source.mapInArrow(_blocker(block_bytes), "block long, docs binary, known binary, held binary, sizes binary, vocabulary binary, counts binary, stream binary"), "blocks")
     buckets = max(4, SPREAD * blocks.count())
-    # Words: counts of the corpus for each block's vocabulary.
+    # Words: numbers and counts of the corpus for each block's vocabulary.
     sent = blocks.select("block", "vocabulary", "counts").mapInArrow(_word_sender(buckets), "bucket long, block long, keys binary, counts binary")
-    words = staged(_dealt(sent).mapInArrow(_word_counter, REPLY), "words", by="kind")
+    words = staged(_dealt(sent).mapInArrow(_word_counter(buckets), REPLY), "words", by="kind")
     plan = Plan(Unigrams.of(_total(words, K_GT + 3)), source.where("not held").count(), buckets)
-    answers = words.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "a")).alias("answers"))
-    counted = staged(blocks.drop("counts").join(answers.hint("merge"), "block"), "counted")
-    discard(blocks)
-    # Bigrams: counts, then the discounts that need the counts of counts, then weights.
-    sent = counted.select("block", "held", "sizes", "vocabulary", "stream", "answers").mapInArrow(_pair_sender(plan), "bucket long, block long, histories binary, meta binary, tokens binary, unigram binary, counts binary")
-    pairs = staged(_dealt(sent).mapInArrow(_pair_counter, REPLY), "bigrams", by="kind")
-    discounts = good_turing(_total(pairs, K_GT + 1))
-    table_ = pairs.where("kind = 'bigram'").select("bucket", "a", "b", "c", "e", "f", "asks")
-    weights = staged(table_.mapInArrow(_weigher(plan, discounts), REPLY), "weights", by="kind")
-    # Histories spread over buckets: their sums meet, and go to the blocks that asked.
-    spread = weights.where("kind = 'hot'").select(F.explode("hot").alias("x")).select("x.*")
-    sums = spread.groupBy("key").agg(F.sum("kept").alias("kept"), F.sum("lower").alias("lower"), F.first("total").alias("total"))
-    p = F.col("kept") / F.col("total")
-    weight = F.when(p >= 1 - 1e-12, -1 / (F.col("total") + 1.0)).otherwise(1 - p) / F.greatest(1 - F.col("lower"), F.lit(1e-300))
-    asked = spread.select("key", F.explode("blocks").alias("block")).distinct().join(sums.select("key", weight.alias("weight")), "key")
-    hot = asked.groupBy("block").agg(F.collect_list(F.struct("key", "weight")).alias("hots"))
-    replies = [r.where("kind = 'answer'").select("block", F.struct(F.lit(which).alias("which"), "bucket", "a").alias("r")) for which, r in (("counts", pairs), ("weights", weights))]
-    replies = replies[0].unionByName(replies[1]).groupBy("block").agg(F.collect_list("r").alias("pairs"))
-    whole = counted.join(replies.hint("merge"), "block").join(hot, "block", "left")
-    scores = whole.select("docs", "known", "held", "sizes", "vocabulary", "stream", "answers", "pairs", "hots").mapInArrow(_scorer(plan, discounts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    tables = {"unigram": words.where("kind = 'unigram'").select("bucket", "a", "b"), "bigram": pairs.where("kind = 'bigram'").select("bucket", "a", "b", "c", "d", "e"), "history": weights.where("kind = 'history'").select("bucket", "a", "b")}
+    answers = words.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("answers"))
+    tables, replies, hots = {"unigram": words.where("kind = 'unigram'").select("bucket", "a", "b")}, None, None
+
+    def state(*columns: str) -> DataFrame:
+        """Blocks with all replies so far."""
+        out = blocks.select("block", "held", "sizes", "vocabulary", "stream", *columns).join(answers.hint("merge"), "block")
+        if replies is None:
+            return out.withColumns({"replies": F.lit(None), "hots": F.lit(None)})
+        own = replies.groupBy("block").agg(F.collect_list("r").alias("replies"))
+        return out.join(own.hint("merge"), "block", "left").join(hots.groupBy("block").agg(F.collect_list("x").alias("hots")), "block", "left")
+
+    for n in range(2, order + 1):
+        # N-grams: counts, then the discounts that need the counts of counts, then weights.
+        grams = staged(_dealt(state().mapInArrow(_sender(plan), SENT)).mapInArrow(_gram_counter(buckets, n < order), REPLY), "grams", by="kind")
+        plan = replace(plan, discounts=(*plan.discounts, good_turing(_total(grams, K_GT + 1))))
+        table_ = grams.where("kind = 'gram'")
+        weights = staged(table_.select("bucket", "a", "b", "c", "e", "f", "g", "h", "asks").mapInArrow(_weigher(plan), REPLY), "weights", by="kind")
+        own = _answered(plan, n, grams, weights)
+        replies, hots = own if replies is None else (replies.unionByName(own[0]), hots.unionByName(own[1]))
+        tables[f"{n}gram"], tables[f"{n}gram_weights"] = table_.select("bucket", "a", "b", "c", "d", "e"), weights.where("kind = 'history'").select("bucket", "a", "b")
+    scores = state("docs", "known").mapInArrow(_scorer(plan), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scores, tables
 
 

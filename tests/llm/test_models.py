@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,57 +133,84 @@ def test_language_awkward(spark):
     assert language.identify(empty(spark), {}, "doc_id").count() == 0
 
 
-def brute_katz(rows):
-    texts = [(i, (t or "").encode().lower().split() + [b""], h) for i, t, h in rows]
-    uni, bi, hist = Counter(), Counter(), Counter()
+def brute_katz(rows, order):
+    """Rows (doc_id, text, held) scored by dictionaries of n-grams, the start as None."""
+    texts = [(i, [None, *(t or "").encode().lower().split(), b""], h) for i, t, h in rows]
+    counts, hist = [Counter() for _ in range(order + 1)], Counter()
     for _, w, held in texts:
-        if not held:
-            uni.update(w), bi.update(zip([None, *w[:-1]], w)), hist.update([None, *w[:-1]])
-    total, v = sum(uni.values()), len(uni)
-    of = lambda counts: katz.good_turing([Counter(counts.values())[k] for k in range(1, katz.K_GT + 2)])
-    d1, d2, top = of(uni), of(bi), katz.K_GT + 1
-    left = 1 - sum(d1[min(c, top)] * c / total for c in uni.values()) if total else 1.0
-    scale1 = 1.0
+        for k in range(1, len(w)):
+            for n in range(1, min(order, k + 1) + 1):
+                counts[n][tuple(w[k - n + 1 : k + 1])] += not held
+                hist[tuple(w[k - n + 1 : k])] += not held
+    counts = [Counter({g: c for g, c in x.items() if c}) for x in counts]
+    uni, total, top = counts[1], sum(counts[1].values()), katz.K_GT + 1
+    d = [None] + [katz.good_turing([Counter(x.values())[k] for k in range(1, katz.K_GT + 2)]) for x in counts[1:]]
+    left = 1 - sum(d[1][min(c, top)] * c / total for c in uni.values()) if total else 1.0
+    scale = {(): 1.0}
     if left <= 1e-15:
-        scale1, left = total / (total + 1), 1 / (total + 1)
-    p1 = lambda w: scale1 * d1[min(uni[w], top)] * uni[w] / total if uni[w] else left
+        scale[()], left = total / (total + 1), 1 / (total + 1)
     by = defaultdict(list)
-    for (h, w), c in bi.items():
-        by[h].append((w, c))
-    weight, scale = {}, {}
-    for h, own in by.items():
-        p, scale[h] = sum(d2[min(c, top)] * c for _, c in own) / hist[h], 1.0
+    for n in range(2, order + 1):
+        for g in counts[n]:
+            by[g[:-1]].append(g)
+    weight = {}
+
+    def prob(g):
+        n, h = len(g), g[:-1]
+        if n == 1:
+            return scale[()] * d[1][min(uni[g], top)] * uni[g] / total if uni[g] else left
+        if not hist[h]:
+            return prob(g[1:])
+        return scale[h] * d[n][min(counts[n][g], top)] * counts[n][g] / hist[h] if counts[n][g] else weight[h] * prob(g[1:])
+
+    for h in sorted(by, key=len):
+        p, scale[h] = sum(d[len(h) + 1][min(counts[len(h) + 1][g], top)] * counts[len(h) + 1][g] for g in by[h]) / hist[h], 1.0
         if p >= 1 - 1e-12:
             p = scale[h] = hist[h] / (hist[h] + 1)
-        weight[h] = (1 - p) / (1 - sum(p1(w) for w, _ in own))
-
-    def prob(h, w):
-        if bi[h, w]:
-            return scale[h] * d2[min(bi[h, w], top)] * bi[h, w] / hist[h]
-        return weight.get(h, 1.0) * p1(w)
-
-    for h in list(by)[:5]:
-        assert sum(prob(h, w) for w in uni) + weight[h] * left == pytest.approx(1)
+        weight[h] = (1 - p) / (1 - sum(prob(g[1:]) for g in by[h]))
+    for h in sorted(by, key=str)[:3] + sorted(by, key=lambda h: -len(by[h]))[:3]:
+        unknown = weight[h] * math.prod(weight[h[k:]] if hist[h[k:]] else 1 for k in range(1, len(h))) * left
+        assert sum(prob((*h, w)) for (w,) in uni) + unknown == pytest.approx(1)
     out = []
     for i, w, held in texts:
-        base = sum(math.log10((uni[x] + 0.1) / (total + 0.1 * (v + 1))) for x in w)
-        score = sum(math.log10(prob(h, x)) for h, x in zip([None, *w[:-1]], w))
-        out.append((i, held, len(w), sum(uni[x] > 0 for x in w), total, base, score))
+        base = sum(math.log10((uni[x,] + 0.1) / (total + 0.1 * (len(uni) + 1))) for x in w[1:])
+        score = sum(math.log10(prob(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(1, len(w)))
+        out.append((i, held, len(w) - 1, sum(uni[x,] > 0 for x in w[1:]), total, base, score))
     return out
 
 
-@pytest.mark.parametrize("block", [32 << 20, 600])
-def test_katz_against_brute_force(spark, block):
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("block", [None, 600])
+def test_katz_against_brute_force(spark, block, order):
     rows = awkward() + [(100 + i, prose(30, 500 + i)) for i in range(40)] + [(200, "the " * 4000 + "the end the start"), (201, "never seen words")]
+    rows += [(300 + i, prose(30, 500 + i) + " " + prose(9, 600 + i)) for i in range(20)]  # what longer orders have seen
     rows = [(i, t, i is not None and i % 7 == 0) for i, t in rows]
     df = frame(spark, [(i, t) for i, t, _ in rows]).withColumn("fold", F.coalesce(F.col("doc_id") % 7 == 0, F.lit(False)))
-    scores, tables = katz.score_documents(df, "fold", block)
+    scores, tables = katz.score_documents(df, "fold", block, order)
     got = sorted((tuple(r) for r in scores.collect()), key=lambda r: str(r[:4]))
-    want = sorted(brute_katz(rows), key=lambda r: str(r[:4]))
+    want = sorted(brute_katz(rows, order), key=lambda r: str(r[:4]))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for k in (5, 6):
         assert [g[k] for g in got] == pytest.approx([w[k] for w in want])
-    assert all(t.count() > 0 for t in tables.values())
+    assert len(tables) == 2 * order - 1 and all(t.count() > 0 for t in tables.values())
+
+
+def test_katz_counts_beyond_32_bits():
+    """Counts of two blocks whose sum passes 2 ** 32, as they travel and meet."""
+    values = np.array([0, 1, 255, 256, 2**32 + 5, 2**56, 2**63 - 1])
+    assert katz.unpacked(katz.packed(values)).tolist() == values.tolist()
+    assert katz.unpacked(katz.packed(np.zeros(0, dtype=np.int64))).tolist() == []
+    keys = np.array([7, 9], dtype=np.uint64).tobytes()
+    batch = pa.RecordBatch.from_pylist([{"bucket": 0, "block": b, "keys": keys, "counts": katz.packed(np.array([2**32 - 1, 3]))} for b in range(2)])
+    rows = [r for b in katz._word_counter(4)([batch]) for r in b.to_pylist()]
+    assert [katz.unpacked(r["a"]).tolist() for r in rows if r["kind"] == "answer"] == [[2**33 - 2, 6]] * 2
+    assert next(r["sums"] for r in rows if r["kind"] == "sums")[0] == 2**33 + 4
+    one = {"bucket": 0, "histories": katz.packed_rising(np.array([2**40])), "lengths": katz.packed([1]), "totals": katz.packed([2**35]), "lower_totals": katz.packed([9]), "lower_full": katz.packed([0]), "words": katz.packed([5]), "lower": katz.packed([2**34]), "times": katz.packed([2**32])}
+    batch = pa.RecordBatch.from_pylist([{**one, "block": b} for b in range(2)]).select(katz.GRAMS.names)
+    rows = [r for b in katz._gram_counter(4, True)([batch]) for r in b.to_pylist()]
+    assert [katz.unpacked(r["a"]).tolist() for r in rows if r["kind"] == "answer"] == [[2**33]] * 2
+    found = next(r for r in rows if r["kind"] == "gram")
+    assert (katz.unpacked(found["b"])[0], katz.unpacked(found["e"])[0], katz.unpacked(found["f"])[0]) == (2**35, 2**33, 2**34)
 
 
 def test_katz_nothing_learned(spark):
