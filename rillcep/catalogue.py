@@ -162,6 +162,7 @@ add("win_named", "define window W (event_id long, user_id long, cents long) leng
 
 # Output kinds, rates, chunks
 add("expired_length", "partition with (user_id of E) begin from E#window.length(3) select event_id insert expired events into O; end", f"SELECT event_id FROM (SELECT event_id, lead(event_id, 3) OVER ({U}) AS l FROM e) WHERE l IS NOT NULL")
+add("win_batch", "from E#window.batch() select event_id, sum(cents) as total, count() as n insert into O", "SELECT event_id, cents AS total, CAST(1 AS BIGINT) AS n FROM e")
 add("expired_time", "from E#window.time(1 hour) select event_id, eventTimestamp() as at insert expired events into O", "SELECT event_id, (us + 3600000000) // 1000 AS at FROM e")
 add("all_events", "from E#window.time(1 hour) select event_id, eventTimestamp() as at insert all events into O", "SELECT event_id, us // 1000 AS at FROM e UNION ALL SELECT event_id, (us + 3600000000) // 1000 FROM e")
 NTH = f"+ r AS (SELECT *, row_number() OVER ({G}) - 1 AS n, count(*) OVER () AS c FROM e)"
@@ -296,6 +297,20 @@ controlled("control_update", [control.MetadataEvent(_d(3), added={"p": PLAN}), c
 controlled("control_delete", [control.MetadataEvent(_d(3), added={"p": PLAN}), control.MetadataEvent(_d(15), deleted=("p",))], f"SELECT event_id, {RUNG} AS total FROM e WHERE us >= {_d(3)} AND us < {_d(15)}")
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control as a table of JSON messages, in no order."""
+    env, e = CEPEnvironment(spark), events(spark, sf_dir)
+    env.register_stream("E", e, *FIELDS, ts="ts", seq="event_id")
+    made = [control.MetadataEvent(_d(15), deleted=("p",)), control.OperationEvent(_d(10), action="enable", plan="p"), control.MetadataEvent(_d(3), added={"p": PLAN}), control.OperationEvent(_d(5), action="disable", plan="p")]
+    registry = control.PlanRegistry(env)
+    registry.replay(spark.createDataFrame([(control.encode(m),) for m in made], "value string"))
+    return registry.returns("O")
+
+
+QUERIES["control_messages"] = _messages
+ORACLES["control_messages"] = f"{BASE} SELECT event_id, {RUNG} AS total FROM e WHERE us >= {_d(3)} AND us < {_d(5)} OR us >= {_d(10)} AND us < {_d(15)}"
+
+
 def _trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     env, e = CEPEnvironment(spark), events(spark, sf_dir)
     env.register_stream("E", e, *FIELDS, ts="ts", seq="event_id")
@@ -361,6 +376,34 @@ def streamed(name: str, cql: str, oracle: str) -> None:
     ORACLES[name] = ORACLES[oracle]
 
 
+def _reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come up to a day late, file by file, put in order behind a watermark of two days."""
+    import tempfile
+    import uuid
+
+    from rillcep.sources import connectors
+    from rillcep.streaming import execute
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rillcep-')}"
+    at = f"{base}/stream-{uuid.uuid4().hex}"
+    e = events(spark, sf_dir).withColumn("arrival", F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(DAY)))
+    first, last = e.agg(F.min("arrival"), F.max("arrival")).first()
+    step = (last - first) // 5 + 1
+    for k in range(5):
+        part = e.where(F.floor((F.col("arrival") - first) / step) == k).orderBy(F.desc("arrival")).drop("arrival")
+        part.coalesce(1).write.parquet(f"{at}/in/part{k}")
+    env = CEPEnvironment(spark)
+    rows = spark.readStream.schema(e.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+    env.register_stream("E", rows, *FIELDS, ts="ts", seq="event_id")
+    out = execute.stream(env, "partition with (user_id of E) begin from E select event_id, user_id, sum(cents) as total insert into O; end", "O", delay="2 days")
+    connectors.write_parquet_once(out, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+QUERIES["stream_reorder"] = _reordered
+#: What the watermark hasn't passed at the end stays in the queue.
+ORACLES["stream_reorder"] = f"{BASE}, b AS (SELECT (max(us) // 1000 - 172800000) * 1000 AS edge FROM e) SELECT event_id, user_id, CAST(sum(cents) OVER ({U} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM e WHERE us < (SELECT edge FROM b)"
+
 streamed("stream_filter", "from E[event_type == 'click' and cents > 2500] select event_id, cents insert into O", "filter_simple")
 streamed("stream_running_sum", "partition with (user_id of E) begin from E select event_id, user_id, sum(cents) as total insert into O; end", "running_group_sum")
 streamed("stream_length_window", "partition with (user_id of E) begin from E#window.length(5) select event_id, user_id, sum(cents) as total insert into O; end", "win_length_partitioned")

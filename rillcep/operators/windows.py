@@ -179,6 +179,9 @@ def attach(df: DataFrame, call: ast.Call, keys: list[str], attributes: dict[str,
         by = W.partitionBy(*map(col, keys), "__batch")
         df = df.withColumns({"__n": F.count(F.lit(1)).over(by), "__end": F.max(US).over(by)}).where(F.col("__n") == n)
         return df, Win("batch", batch="__batch")
+    if name == "batch":  # a chunk of arrivals; in a replay every event is one of its own
+        df = numbered(df, keys, "__batch")
+        return df.withColumn("__end", F.col(US)), Win("batch", batch="__batch")
     if name in ("timeBatch", "externalTimeBatch"):
         external = name == "externalTimeBatch"
         time = col(attribute(args[0])).cast("long") * 1000 if external else F.col(US)

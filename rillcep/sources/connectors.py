@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+import time
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LOG = logging.getLogger(__name__)
+
 
 def kafka_json(spark: SparkSession, servers: str, topic: str, schema: T.StructType | str, streaming: bool = True, **options) -> DataFrame:
     """Typed rows of JSON messages; a message that doesn't parse gives nulls. Needs Spark's Kafka package."""
@@ -60,7 +66,34 @@ def synthetic_events(spark: SparkSession, n: int, name: str = "test_event", star
     return spark.range(n).select((i % 50).cast("int").alias("id"), F.lit(name).alias("name"), (i / 10.0).alias("price"), (F.lit(start_ms) + i * 1000).alias("timestamp"))
 
 
+def synthetic_tuples(spark: SparkSession, n: int, name: str = "test_tuple", start_ms: int = 0) -> DataFrame:
+    """The same as unnamed columns: _1 to _4."""
+    return synthetic_events(spark, n, name, start_ms).toDF("_1", "_2", "_3", "_4")
+
+
+def synthetic_words(spark: SparkSession, n: int, vocabulary: list[str], start_ms: int = 0) -> DataFrame:
+    """word (drawn from a vocabulary by a hash of its place), timestamp (a second apart)."""
+    i = F.col("id")
+    word = F.element_at(F.array(*map(F.lit, vocabulary)), (F.pmod(F.xxhash64(i), F.lit(len(vocabulary))) + 1).cast("int"))
+    return spark.range(n).select(word.alias("word"), (F.lit(start_ms) + i * 1000).alias("timestamp"))
+
+
 def rate_events(spark: SparkSession, per_second: int = 5, name: str = "test_event") -> DataFrame:
     """The same as an endless stream."""
     rows = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
     return rows.select((F.col("value") % 50).cast("int").alias("id"), F.lit(name).alias("name"), F.rand(7).alias("price"), F.unix_millis("timestamp").alias("timestamp"))
+
+
+def supervised(start, attempts: int = 4, delay: float = 10.0):
+    """Runs start() -> a running query to its end, and anew from its checkpoint when it fails, after `delay` seconds and
+    `attempts` times at most; then the last failure is raised."""
+    for left in range(attempts, -1, -1):
+        query = start()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if not left:
+                raise
+            LOG.warning("query %s failed; %d attempts left", query.id, left, exc_info=True)
+            time.sleep(delay)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillcep.control import ControlEvent, MetadataEvent, OperationEvent, PlanRegistry
+from rillcep.control import LOG, ControlError, ControlEvent, MetadataEvent, OperationEvent, PlanRegistry, decode
 from rillcep.plans.lower import Stream
 from rillcep.schema import US
 from rillcep.streaming import execute
@@ -41,6 +41,22 @@ class StreamingPlans:
             elif event.plan not in self.running:
                 self._start(event.plan)
 
+    def follow(self, messages: DataFrame, checkpoint: str, column: str = "value"):
+        """Applies a stream of JSON control messages as they come, those of one micro-batch in the order of their creation;
+        gives back the running query. Messages that can't be read are logged and passed over."""
+
+        def batch(rows: DataFrame, _: int) -> None:
+            events = []
+            for r in rows.select(F.col(column).cast("string").alias("m")).where("m is not null").collect():
+                try:
+                    events.append(decode(r["m"]))
+                except (ControlError, ValueError):
+                    LOG.warning("unreadable control message %.200s", r["m"])
+            for event in sorted(events, key=lambda e: e.created):
+                self.apply(event)
+
+        return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
     def stop(self) -> None:
         for plan in list(self.running):
             self._stop(plan)

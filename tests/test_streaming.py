@@ -75,3 +75,57 @@ def test_streaming_plans(spark, tmp_path):
     plans.process_all()
     plans.stop()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/p").select("v", "s").collect()) == [(1.0, 1.0), (1.0, 2.0)]
+
+
+def test_control_stream(spark, tmp_path):
+    """Plans come and go by a stream of messages; one that can't be read stops nothing."""
+    from rillcep.control import MetadataEvent, encode
+    from rillcep.streaming.plans import StreamingPlans
+
+    schema, source, told = "t long, k string, v double, i long", tmp_path / "in", tmp_path / "told"
+    spark.createDataFrame([(1000, "A", 1.0, 0), (2000, "A", 2.0, 1)], schema).write.parquet(str(source))
+    say = lambda *m: spark.createDataFrame([(x,) for x in m], "value string").coalesce(1).write.mode("append").text(str(told))
+    say("{no json", encode(MetadataEvent(0, added={"p": "from S select v insert into O"})))
+    env = CEPEnvironment(spark)
+    env.register_stream("S", spark.readStream.schema(schema).parquet(str(source)), "k", "v", ts="t", seq="i")
+    sink = lambda df, plan, at: df.writeStream.format("parquet").option("checkpointLocation", at).start(f"{tmp_path}/{plan}")
+    plans = StreamingPlans(env, "O", sink, str(tmp_path / "checkpoints"), reorder=False)
+    control = plans.follow(spark.readStream.text(str(told)), str(tmp_path / "control"))
+    control.processAllAvailable()
+    plans.process_all()
+    say(encode(MetadataEvent(1, deleted=("p",))))
+    control.processAllAvailable()
+    assert not plans.running and sorted(r.v for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [1.0, 2.0]
+    control.stop()
+
+
+def test_supervised(spark, tmp_path):
+    """A query that fails twice is started again from its checkpoint, and no more often than allowed."""
+    from pyspark.errors import StreamingQueryException
+
+    spark.createDataFrame([(1,), (2,)], "v int").write.parquet(str(tmp_path / "in"))
+    failures, seen = [2], []
+
+    def start():
+        def batch(df, _):
+            if failures[0]:
+                failures[0] -= 1
+                raise RuntimeError("lost")
+            seen.extend(r.v for r in df.collect())
+
+        rows = spark.readStream.schema("v int").parquet(str(tmp_path / "in"))
+        return rows.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+
+    connectors.supervised(start, attempts=2, delay=0)
+    assert sorted(seen) == [1, 2]
+    failures[0] = 9
+    spark.createDataFrame([(3,)], "v int").write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException):
+        connectors.supervised(start, attempts=1, delay=0)
+    assert failures[0] == 7
+
+
+def test_generators(spark):
+    words = connectors.synthetic_words(spark, 100, ["a", "b", "c"]).collect()
+    assert {r.word for r in words} == {"a", "b", "c"} and words[-1].timestamp == 99_000
+    assert connectors.synthetic_tuples(spark, 3).columns == ["_1", "_2", "_3", "_4"]
