@@ -72,6 +72,17 @@ def _alive(kept: Side, trigger: Side) -> Column:
     return before
 
 
+#: Rows of a table that an arrival is compared with one by one, where no equality or time bounds the comparison.
+SMALL = 50_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table for a comparison row by row, broadcast, its size checked."""
+    if table.limit(SMALL + 1).count() > SMALL:
+        raise AnalysisError(f"a table of over {SMALL} rows is joined on equality only")
+    return F.broadcast(table)
+
+
 def half(trigger: Side, kept: Side, equal: list[tuple[Column, Column]], rest: Column | None, outer: bool) -> DataFrame:
     """Arrivals of trigger with the events that kept holds; outer keeps arrivals without any."""
     how = "left" if outer else "inner"
@@ -88,8 +99,10 @@ def half(trigger: Side, kept: Side, equal: list[tuple[Column, Column]], rest: Co
         near = kept.df.withColumn("__bucket", F.explode(F.array(*(F.floor(kept.c(US) / span) + i for i in (0, 1)))))
         far = trigger.df.withColumn("__own", F.floor(trigger.c(US) / span))
         return far.join(near, (far["__own"] == near["__bucket"]) & condition, how).drop("__bucket", "__own")
-    if equal or trigger.keys or kept.keep[0] in ("all", "versions"):
+    if equal or trigger.keys:
         return trigger.df.join(kept.df, condition, how)
+    if kept.keep[0] in ("all", "versions"):
+        return trigger.df.join(small(kept.df), condition, how)
     n = kept.keep[1]
     return _by_place(trigger, kept, n, rest, outer)
 

@@ -213,7 +213,9 @@ class Lowering:
         start = F.struct(col(f"__t_{US}").alias("a"), col(f"__t_{SEQ}").alias("b"))
         end = F.struct(col("__t___to_us").alias("a"), col("__t___to_seq").alias("b"))
         on = compile_(test.condition, scope.with_(resolve=resolve))[0] & (start < order) & (col("__t___to_us").isNull() | (order < end))
-        return df.join(rows, on, "left_anti" if negative else "left_semi")
+        of_table = lambda e: {v.stream == test.table for v in variables(e)}
+        equal = any(isinstance(c, ast.Binary) and c.op == "==" and {frozenset(of_table(c.left)), frozenset(of_table(c.right))} == {frozenset({True}), frozenset({False})} for c in conjuncts(test.condition))
+        return df.join(rows if equal else joins.small(rows), on, "left_anti" if negative else "left_semi")
 
     def _single(self, stream: Stream, single: ast.Single, keys: list[str]) -> Rel:
         df, attributes, win = stream.df, dict(stream.attributes), None

@@ -96,3 +96,23 @@ def test_hot_key_join_meets_its_span_alone(spark):
     assert "__bucket" in df._jdf.queryExecution().optimizedPlan().toString()
     got = sorted(run(spark, query, L=left, R=right))
     assert got == sorted((float(a[2]), float(b[2])) for a in left for b in right if abs(a[0] - b[0]) < 12)
+
+
+def test_tables_without_equality(spark, monkeypatch):
+    """A small table is broadcast and compared row by row; a larger one is refused, and joined on equality as ever."""
+    from rillcep.errors import AnalysisError
+    from rillcep.operators import joins
+
+    rows, limits = [(i, "a", i) for i in range(10, 20)], [(i, "a", 13 + i) for i in range(3)]
+    define = "define table T (k string, price double); from L select k, v as price insert into T; "
+    theta = define + "from S join T on S.v < T.price select S.v as v, T.price as price insert into O"
+    held = define + "from S[(T.price == v) in T] select v insert into O"
+    some = define + "from S[(T.price > v) in T] select v insert into O"
+    want = sorted((float(r[2]), float(t[2])) for r in rows for t in limits if r[2] < t[2])
+    assert sorted(run(spark, theta, S=rows, L=limits)) == want
+    assert run(spark, some, S=rows, L=limits) == [(10.0,), (11.0,), (12.0,), (13.0,), (14.0,)]
+    monkeypatch.setattr(joins, "SMALL", 2)
+    assert run(spark, held, S=rows, L=limits) == [(13.0,), (14.0,), (15.0,)]
+    for query in (theta, some):
+        with pytest.raises(AnalysisError):
+            run(spark, query, S=rows, L=limits)
