@@ -68,7 +68,7 @@ def held_out(doc_id, modulus: int, remainder: int):
 class TokenIds(dict):
     """64-bit id of each byte token, remembered up to a bound (it only saves time)."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -44,7 +44,7 @@ class _Memo(dict):
         self.made = made
 
     def __missing__(self, word):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = self.made(word)
         return value

@@ -123,6 +123,30 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_against_slow(spark):
+    """Each text under each dictionary, block by block, compressed anew."""
+    import zstandard
+
+    rows = [(i, spoken(k, 3 + 90 * (i % 40), i), k) for i, k in enumerate(list(LANGUAGES) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    raw = language.dictionaries(docs)
+    assert set(raw) == set(LANGUAGES) and all(0 < len(v) <= language.DICTIONARY for v in raw.values())
+    assert all(passage in "\n".join(t.lower() for _, t, k in rows if k == lang) for lang, v in raw.items() for passage in v.decode().split("\n")[:-1])
+
+    def slow(text):
+        out = {}
+        for lang, content in raw.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data, total = text.lower().encode(), 0
+            for at in range(0, len(data), language.BLOCK):
+                total += len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[at : at + language.BLOCK]))
+            out[lang] = total
+        return min(sorted(out), key=out.get)
+
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, raw, "doc_id").collect()}
+    assert got == {i: slow(t) for i, t, _ in rows}
+
+
 def test_language_awkward(spark):
     docs = spark.createDataFrame([(1, None, "aa"), (2, "", "aa"), (3, "12 !? \u0301", "aa"), (4, spoken("bb", 5000, 1), "bb"), (5, spoken("aa", 50, 2), "aa"), (6, "日", None), (None, "kel", "aa")], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language.identify(docs, language.dictionaries(docs), "doc_id").collect()}
