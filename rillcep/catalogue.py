@@ -84,6 +84,7 @@ add("fn_ifthenelse", "from E select event_id, ifThenElse(cents > 5000, 'high', '
 add("fn_minmax", "from E select event_id, maximum(cents, user_id, 500) as hi, minimum(cents, user_id, 500) as lo insert into O", "SELECT event_id, greatest(cents, user_id, 500) AS hi, least(cents, user_id, 500) AS lo FROM e")
 add("fn_cast_convert", "from E select event_id, cast(cents, 'string') as s, convert(event_type, 'int') as n, convert(cents, 'double') as d insert into O", "SELECT event_id, CAST(cents AS VARCHAR) AS s, TRY_CAST(event_type AS INTEGER) AS n, CAST(cents AS DOUBLE) AS d FROM e")
 add("fn_instanceof", "from E select event_id, instanceOfLong(cents) as a, instanceOfString(cents) as b, instanceOfLong(cents / (user_id % 2)) as c insert into O", "SELECT event_id, true AS a, false AS b, user_id % 2 <> 0 AS c FROM e")
+add("fn_instanceof_all", "from E select event_id, instanceOfInteger(1) as a, instanceOfDouble(cents / 2.0) as b, instanceOfFloat(cents) as c, instanceOfBoolean(cents > 5) as d, instanceOfBoolean(event_type) as e insert into O", "SELECT event_id, true AS a, true AS b, false AS c, true AS d, false AS e FROM e")
 add("fn_event_timestamp", "from E select event_id, eventTimestamp() as at insert into O", "SELECT event_id, ms AS at FROM e")
 add("fn_create_set", "from E select event_id, sizeOfSet(createSet(event_type)) as n insert into O", "SELECT event_id, 1 AS n FROM e")
 add("fn_pol2cart", "from E#pol2Cart(90.0, 2.0) select event_id, x < 0.001 as zero, y as y insert into O", "SELECT event_id, true AS zero, CAST(2.0 AS DOUBLE) AS y FROM e")
@@ -193,6 +194,7 @@ J12 = "from Click#window.time(12 hours) as a {k} join Purchase#window.time(12 ho
 add("join_left", J12.replace("{k}", "left outer"), f"{TWO} {LEFT} UNION ALL {INNER}{LATER}")
 add("join_right", J12.replace("{k}", "right outer"), f"{TWO} {INNER}{EARLIER} UNION ALL {RIGHT}")
 add("join_full", J12.replace("{k}", "full outer"), f"{TWO} {LEFT} UNION ALL {RIGHT}")
+add("join_no_window", "from Click as a join Purchase#window.time(12 hours) as b on a.user_id == b.user_id select a.event_id as l, b.event_id as r insert into O", f"{TWO} {INNER}{EARLIER}")
 add("join_self", "from E#window.time(1 hour) as a join E#window.time(1 hour) as b on a.user_id == b.user_id and a.event_id < b.event_id select a.event_id as l, b.event_id as r insert into O", "SELECT l.event_id AS l, r.event_id AS r FROM e l JOIN e r ON l.user_id = r.user_id AND l.event_id < r.event_id AND r.us - l.us < 3600000000")
 add("join_within", "from Click#window.length(50) as a join Purchase#window.length(50) as b on a.user_id == b.user_id within 1 hour select a.event_id as l, b.event_id as r insert into O", f"+ l AS (SELECT *, lead(us, 50) OVER ({G}) AS dead FROM e WHERE event_type = 'click'), r AS (SELECT *, lead(us, 50) OVER ({G}) AS dead FROM e WHERE event_type = 'purchase') SELECT l.event_id AS l, r.event_id AS r FROM l JOIN r ON l.user_id = r.user_id AND abs(l.us - r.us) <= 3600000000 AND ((r.us < l.us AND (r.dead IS NULL OR l.us < r.dead)) OR (l.us < r.us AND (l.dead IS NULL OR r.us < l.dead)))")
 add("join_group_sum", "from Click#window.time(12 hours) as a join Purchase#window.time(12 hours) as b on a.user_id == b.user_id select b.user_id as user_id, count() as n group by b.user_id insert into C; from C select user_id, n insert into O", f"{TWO} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY l.event_id) AS n FROM l JOIN r USING (user_id) WHERE abs(l.us - r.us) < {H12}")
@@ -258,16 +260,17 @@ add("seq_star", BYUSER.replace("{p}", "every a=E[event_type == 'view'], b=E[even
 
 
 def aggregation(unit: str) -> None:
-    text = "define aggregation A from E select user_id, sum(cents) as total, count() as n group by user_id aggregate every hour...month"
+    span = "week" if unit == "week" else "sec...year"  # a range of units has no weeks
+    text = f"define aggregation A from E select user_id, sum(cents) as total, count() as n group by user_id aggregate every {span}"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return Execution(environment(spark, sf_dir), _parsed(text)).aggregation("A", unit)
 
     QUERIES[f"agg_incremental_{unit}"] = run
-    ORACLES[f"agg_incremental_{unit}"] = f"SELECT epoch_ms(CAST(date_trunc('{unit}', ts) AS TIMESTAMP)) AS \"AGG_TIMESTAMP\", user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1, 2"
+    ORACLES[f"agg_incremental_{unit}"] = f"SELECT epoch_ms(CAST(date_trunc('{ {'sec': 'second', 'min': 'minute'}.get(unit, unit)}', ts) AS TIMESTAMP)) AS \"AGG_TIMESTAMP\", user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1, 2"
 
 
-for _unit in ("hour", "day", "month"):
+for _unit in ("sec", "min", "hour", "day", "week", "month", "year"):
     aggregation(_unit)
 
 # Trigger, control, conversion
@@ -330,6 +333,26 @@ QUERIES["return_map"] = _as_map
 ORACLES["return_map"] = f"{BASE} SELECT 'alpha' AS first_key, 'zeta' AS second_key, event_id AS zeta, user_id AS alpha FROM e"
 
 
+def _as_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import types as T
+
+    wanted = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("cents", T.DoubleType()), T.StructField("missing", T.IntegerType())])
+    return Execution(environment(spark, sf_dir), _parsed("from E select event_id, user_id, cents insert into O")).returns_as("O", wanted)
+
+
+QUERIES["return_as_schema"] = _as_schema
+ORACLES["return_as_schema"] = f"{BASE} SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(cents AS DOUBLE) AS cents, CAST(NULL AS INTEGER) AS missing FROM e"
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = Execution(environment(spark, sf_dir), _parsed("from Click select event_id insert into A; from Purchase select event_id, cents insert into B")).returns_tagged("A", "B")
+    return made.select("stream_id", F.col("payload")["event_id"].alias("event_id"), F.col("payload")["cents"].alias("cents"))
+
+
+QUERIES["return_tagged"] = _tagged
+ORACLES["return_tagged"] = f"{BASE} SELECT 'A' AS stream_id, CAST(event_id AS VARCHAR) AS event_id, CAST(NULL AS VARCHAR) AS cents FROM e WHERE event_type = 'click' UNION ALL SELECT 'B', CAST(event_id AS VARCHAR), CAST(cents AS VARCHAR) FROM e WHERE event_type = 'purchase'"
+
+
 def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = CEPEnvironment(spark)
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
