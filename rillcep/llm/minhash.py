@@ -3,6 +3,10 @@
 Every permutation yields two signature values, the smallest and the largest hash of the set, so half the hash
 evaluations fill the same signature. Documents with equal shingle sets are one class before any banding; class
 representatives that share a band join a candidate block, and inside the blocks links are confirmed on full sets.
+
+A block of up to BLOCK documents is compared in one piece. In a larger one, such as thousands of near copies, each
+document is first compared with the smallest of each of its bands. What that connects, the block's core above all,
+needs no comparison among itself: the rest is compared with the core and among itself, in pieces.
 """
 
 from __future__ import annotations
@@ -88,15 +92,17 @@ def _signer(width: int, rows: int, bands: int):
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _link_block(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(id, local root) for members linked inside a block: 100*|A&B| >= percent*|A|B|, every pair of different groups compared."""
+def _link_block(ids: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """(id, local root) for members linked inside a block: 100*|A&B| >= percent*|A|B|, every pair of different groups compared.
+
+    known: the groups to begin with, where some members are connected already."""
     n = len(ids)
     flat = np.concatenate(sets)
     _, dense = np.unique(flat, return_inverse=True)
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     marks = np.zeros(dense.max() + 1, dtype=np.int32)
-    group = np.arange(n)
+    group = np.arange(n) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
     for x in range(n - 1):
         near = (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])) & (group != group[x])
         near[: x + 1] = False
@@ -122,26 +128,56 @@ def _link_block(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
 def _linker(width: int, percent: int):
     """Rows come sorted by block; consecutive rows of a block are compared together."""
 
-    def solve(key, ids, texts):
-        return _link_block(ids, shingle_sets(texts, width), percent) if key is not None and len(ids) > 1 else []
+    def solve(key, ids, groups, texts):
+        return _link_block(ids, shingle_sets(texts, width), percent, groups) if key is not None and len(ids) > 1 else []
 
     def run(batches):
-        key, ids, texts = None, [], []
+        key, ids, groups, texts = None, [], [], []
         for batch in batches:
             out = []
-            for comp, i, j, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for comp, i, j, doc, group, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (comp, i, j) != key:
-                    out += solve(key, ids, texts)
-                    key, ids, texts = (comp, i, j), [], []
-                ids.append(doc)
-                texts.append(text)
+                    out += solve(key, ids, groups, texts)
+                    key, ids, groups, texts = (comp, i, j), [], [], []
+                ids.append(doc), groups.append(group), texts.append(text)
             yield arrow(LINKS, [[a for a, _ in out], [b for _, b in out]])
-        out = solve(key, ids, texts)
+        out = solve(key, ids, groups, texts)
         yield arrow(LINKS, [[a for a, _ in out], [b for _, b in out]])
 
     return run
 
 
+def _against_first(width: int, percent: int):
+    """Rows come sorted by (low, salt, whether the document isn't low itself): each is compared with the first."""
+
+    def run(batches):
+        key, first = None, None
+        for batch in batches:
+            lows, salts, docs, texts = (c.to_pylist() for c in batch.columns)
+            found = []
+            for lo, hi in sub_batches(texts, 4 << 20):
+                for low, salt, doc, own in zip(lows[lo:hi], salts[lo:hi], docs[lo:hi], shingle_sets(texts[lo:hi], width)):
+                    if (low, salt) != key:
+                        key, first = (low, salt), own
+                    elif doc != low:
+                        common = len(np.intersect1d(first, own, assume_unique=True))
+                        if 100 * common >= percent * (len(first) + len(own) - common):
+                            found.append((doc, low))
+            yield arrow(LINKS, [[a for a, _ in found], [b for _, b in found]])
+
+    return run
+
+
+def _stars(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """pairs (a, low): the links among them. A low of many pairs is dealt out, with a copy for each part."""
+    parts = pairs.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "low").select("low", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"), F.col("a").alias("doc_id"))
+    own = parts.select("low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("low").alias("doc_id"))
+    rows = dealt.unionByName(own).join(source.hint("merge"), "doc_id").select("low", "salt", "doc_id", "text", (F.col("doc_id") != F.col("low")).alias("later"))
+    rows = rows.repartition("low", "salt").sortWithinPartitions("low", "salt", "later").select("low", "salt", "doc_id", "text")
+    return rows.mapInArrow(_against_first(width, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, values: int = 140) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per input row.
 
@@ -159,14 +195,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, val
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     low = banded.groupBy("band", "key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "key", "low")
     blocks = components(banded.join(low, ["band", "key"]).selectExpr("rep as a", "low as b"))
-    # 3. Blocks beyond BLOCK documents are cut, and each pair of pieces is compared once.
-    sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
-    cut = blocks.join(sizes, "component").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cut = cut.select(F.col("node").alias("doc_id"), "component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
-    compared = cut.join(source.where("doc_id is not null").hint("merge"), "doc_id").select("component", "i", "j", "doc_id", "text")
+    # 3. In blocks beyond BLOCK documents, links with the bands' smallest come first; each block has a core then.
+    text = source.where("doc_id is not null")
+    sizes = blocks.groupBy("component").agg(F.count("*").alias("n"))
+    large = blocks.join(sizes.where(F.col("n") > BLOCK).drop("n"), "component")
+    pairs = banded.join(low, ["band", "key"]).where("rep <> low").select(F.col("rep").alias("a"), "low").distinct()
+    pairs = pairs.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+    stars = staged(_stars(pairs, text, width, percent), "stars")
+    joined = large.join(components(stars).withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    groups = joined.groupBy("component", "group").agg(F.count("*").alias("n"))
+    cores = groups.groupBy("component").agg(F.max_by("group", F.struct("n", "group")).alias("core"), F.ceil(F.max("n") / BLOCK).cast("int").alias("own"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("others"))
+    # The pieces of the core have numbers below own; each pair of pieces meets once, but never two of the core.
+    cut = joined.join(cores, "component").withColumn("inner", F.col("group") == F.col("core"))
+    cut = cut.withColumn("piece", F.when(F.col("inner"), F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("node"), F.greatest("others", F.lit(1)))).cast("int"))
+    last = F.col("own") + F.col("others") - 1
+    cut = cut.withColumn("other", F.explode(F.when(F.col("others") == 0, F.array().cast("array<int>")).when(F.col("inner"), F.sequence("own", last)).otherwise(F.sequence(F.lit(0), last))))
+    cut = cut.select(F.col("node").alias("doc_id"), "component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "group")
+    whole = blocks.join(sizes.where(F.col("n") <= BLOCK).drop("n"), "component").select(F.col("node").alias("doc_id"), "component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("node").alias("group"))
+    compared = whole.unionByName(cut).join(text.hint("merge"), "doc_id").select("component", "i", "j", "doc_id", "group", "text")
     compared = compared.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
-    linked = components(compared.mapInArrow(_linker(width, percent), "a long, b long"))
+    linked = components(stars.unionByName(compared.mapInArrow(_linker(width, percent), "a long, b long")))
     # 4. Back to every row through its class.
     named = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

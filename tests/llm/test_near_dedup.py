@@ -60,6 +60,23 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert all(r.n_shingles == sizes[r.doc_id] for r in got if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("block", [500, 9])
+def test_core_and_the_rest(spark, monkeypatch, block):
+    """Copies of one text with ever more edits: a core near its smallest, and documents that only each other link to it."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng, rows, words = random.Random(8), [], prose(200, 1).split()
+    for v in range(60):
+        w = list(words)
+        for k in range(v // 6):  # a chain: each six share their edits, the next six have one more
+            w[7 + 17 * k] = f"edit{k}"
+        w[3] = f"own{v}"
+        rows.append((v, " ".join(w)))
+    rows += [(100 + v, prose(150, 50 + v // 2) + f" end{v}") for v in range(12)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), threshold=0.85).collect()}
+    assert got == brute(rows, 85) and len(set(got.values())) < 12
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
