@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rillcep.errors import AnalysisError
 from rillcep.functions.expressions import Scope, compile_, is_aggregate, over_array, over_frame, over_parts, result_type, variables, walk
 from rillcep.lang import ast
-from rillcep.operators.windows import HALO, SLICE, Win, numbered, running, whole
+from rillcep.operators.windows import HALO, SLICE, Win, in_slices, numbered, running, whole, with_before
 from rillcep.schema import SEQ, US, col
 from rillcep.types import SPARK
 
@@ -92,19 +92,25 @@ def apply(select: ast.Select, rel: Rel, kind: str = "current") -> tuple[DataFram
         df = df.withColumn(name, place)
     forever = running(rel.keys).frame(groups)
     firsts: dict[ast.Call, str] = {}
-    if win.kind == "running":  # a distinct count so far is the number of first occurrences so far, not a set for each row
+    if win.kind == "running":  # what is distinct so far are the first occurrences so far, not a set of all for each row
         for call in aggregates:
-            if call.name == "distinctCount" and call.args and rel.scope.extensions.find(call.full, "aggregator") is None:
-                value, firsts[call] = _arguments(call, rel.scope)[0][0], f"__first{len(firsts)}"
+            if (value := _distinct(call, rel)) is not None:
+                firsts[call] = f"__first{len(firsts)}"
                 nth = F.row_number().over(W.partitionBy(*map(col, rel.keys), *groups, value).orderBy(US, SEQ))
-                df = df.withColumn(firsts[call], ((nth == 1) & value.isNotNull()).cast("long"))
+                df = df.withColumn(firsts[call], F.when((nth == 1) & value.isNotNull(), value))
+    global_: dict[ast.Call, Column] = {}
+    if win.kind == "running" and aggregates and not groups and not rel.keys and all(a.name in MERGED and rel.scope.extensions.find(a.full, "aggregator") is None for a in aggregates):
+        df, global_ = _running_globally(df, aggregates, rel, firsts)
+        forever = W.partitionBy(SLICE).orderBy(US, SEQ).rowsBetween(W.unboundedPreceding, 0)
     names = [f"__g{i}" for i in range(len(groups))]
 
     def bound(call: ast.Call):
         if win.kind == "array" and call.name not in ("maxForever", "minForever"):
             return _over_content(call, rel, win, select.group_by)
+        if call in global_:
+            return global_[call], _aggregate(call, rel)[1]
         if call in firsts:
-            return F.sum(firsts[call]).over(spec), "long"
+            return (F.count if call.name == "distinctCount" else F.collect_list)(firsts[call]).over(spec), _aggregate(call, rel)[1]
         if win.kind == "time" and not call.name.endswith("Forever") and rel.scope.extensions.find(call.full, "aggregator") is None:
             cols, types = _arguments(call, rel.scope)
             older, peers = win.parts(inside)
@@ -129,6 +135,47 @@ def apply(select: ast.Select, rel: Rel, kind: str = "current") -> tuple[DataFram
     return out, types, None, names
 
 
+#: Running aggregates that are put together from those of slices, and how.
+MERGED = {"count": F.sum, "sum": F.sum, "avg": F.sum, "distinctCount": F.sum, "min": F.min, "minForever": F.min, "max": F.max, "maxForever": F.max, "and": F.bool_and, "or": F.bool_or}
+
+
+def _distinct(call: ast.Call, rel: Rel) -> Column | None:
+    """What a distinctCount, or a unionSet of single values, collects."""
+    if rel.scope.extensions.find(call.full, "aggregator") is not None or not call.args:
+        return None
+    if call.name == "distinctCount":
+        return _arguments(call, rel.scope)[0][0]
+    inner = call.args[0]
+    if call.name == "unionSet" and isinstance(inner, ast.Call) and inner.full == "createSet" and len(inner.args) == 1:
+        return compile_(inner.args[0], rel.scope)[0]
+    return None
+
+
+def _running_globally(df: DataFrame, aggregates: list[ast.Call], rel: Rel, firsts: dict[ast.Call, str]) -> tuple[DataFrame, dict[ast.Call, Column]]:
+    """Running aggregates over one order of all events: those of the slices before, merged with the event's slice so far."""
+    parts, made = {}, {}
+    so_far = W.partitionBy(SLICE).orderBy(US, SEQ).rowsBetween(W.unboundedPreceding, 0)
+
+    def both(made_by, merge) -> Column:
+        name = f"__before{len(parts)}"
+        parts[name] = (made_by(lambda c: c), merge)
+        a, b = F.col(name), made_by(lambda c: c.over(so_far))
+        if merge is F.sum:
+            return F.coalesce(a + b, a, b)
+        return {F.min: F.least, F.max: F.greatest}[merge](a, b) if merge in (F.min, F.max) else F.coalesce(a & b if merge is F.bool_and else a | b, a, b)
+
+    for call in aggregates:
+        cols, types = _arguments(call, rel.scope)
+        if call in firsts:
+            made[call] = both(lambda bind, c=firsts[call]: bind(F.count(c)), F.sum)
+        elif call.name == "avg":
+            x = cols[0].cast("double")
+            made[call] = F.try_divide(both(lambda bind, x=x: bind(F.sum(x)), F.sum), both(lambda bind, x=x: bind(F.count(x)), F.sum))
+        else:
+            made[call] = both(lambda bind, c=call.name, a=cols, t=types: over_frame(c, a, t, bind), MERGED[call.name])
+    return with_before(in_slices(df), parts), made
+
+
 def _having(select: ast.Select, scope: Scope, types: dict[str, str], outputs: dict[str, Column] | None = None) -> Column | None:
     if select.having is None:
         return None

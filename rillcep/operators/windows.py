@@ -47,20 +47,32 @@ def whole(df: DataFrame, value: Column, keys: list[str]) -> Column:
     return value.over(W.partitionBy(*map(col, keys))) if keys else df.select(value).scalar()
 
 
+def in_slices(df: DataFrame, time: str = US) -> DataFrame:
+    """Adds SLICE: events dealt by quantiles of the time, in order."""
+    bounds = df.select(F.percentile_approx(col(time), [i / SLICES for i in range(1, SLICES)], 2000)).scalar()
+    return df.withColumn("__bounds", bounds).withColumn(SLICE, F.size(F.filter("__bounds", lambda b: b < col(time)))).drop("__bounds")
+
+
+def with_before(df: DataFrame, parts: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """Adds for each name an aggregate over all slices before the event's own: (of a slice, how slices' values merge).
+
+    What meets in one task for that is a row for each slice."""
+    sums = df.groupBy(SLICE).agg(*(value.alias(n) for n, (value, _) in parts.items()))
+    earlier = W.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(F.col(SLICE).alias("__of"), *(merge(F.col(n)).over(earlier).alias(n) for n, (_, merge) in parts.items()))
+    return df.join(F.broadcast(before), F.col(SLICE) == F.col("__of")).drop("__of")
+
+
 def accumulated(df: DataFrame, value: Column, keys: list[str], name: str, order: tuple[str, ...] = (US, SEQ)) -> DataFrame:
     """Adds the running sum (long) of value in order, the event itself included.
 
-    Without keys the order is one for all events, but no task takes them all: events are dealt by quantiles of the
-    time, summed in their slices, and the sums of the slices before (SLICES rows at most) are added."""
+    Without keys the order is one for all events, but no task takes them all: events are summed in slices, and the sums
+    of the slices before are added."""
     if keys:
         return df.withColumn(name, F.sum(value).over(W.partitionBy(*map(col, keys)).orderBy(*map(col, order)).rowsBetween(W.unboundedPreceding, 0)).cast("long"))
-    bounds = df.select(F.percentile_approx(col(order[0]), [i / SLICES for i in range(1, SLICES)], 2000)).scalar()
-    df = df.withColumn("__bounds", bounds).withColumn(SLICE, F.size(F.filter("__bounds", lambda b: b < col(order[0])))).drop("__bounds")
-    sums = df.groupBy(SLICE).agg(F.sum(value).alias("__before"))
-    before = F.coalesce(F.sum("__before").over(W.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    df = df.join(F.broadcast(sums.select(F.col(SLICE).alias("__of"), before.alias("__before"))), F.col(SLICE) == F.col("__of"))
+    df = with_before(in_slices(df, order[0]), {"__before": (F.sum(value), F.sum)})
     inside = F.sum(value).over(W.partitionBy(SLICE).orderBy(*map(col, order)).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn(name, (F.col("__before") + inside).cast("long")).drop(SLICE, "__of", "__before")
+    return df.withColumn(name, (F.coalesce("__before", F.lit(0)) + inside).cast("long")).drop(SLICE, "__before")
 
 
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -82,6 +82,26 @@ def test_no_single_partition(spark):
         assert not alone, alone
 
 
+def test_running_aggregates_over_slices(spark, monkeypatch):
+    """A running aggregate over all events is that of the slices before and of the own so far."""
+    monkeypatch.setattr(windows, "SLICES", 6)
+    rows = [(t, k, None if v == 3 else v) for t, k, v in events(50, ties=4)]
+    items = {**{k: v for k, v in AGGREGATES.items() if k not in ("count()", "stdDev(v)")}, "maxForever(v)": max, "or(v > 4.0)": lambda v: any(x > 4 for x in v), "and(v < 6.0)": lambda v: all(x < 6 for x in v)}
+    query = f"from S select count() as n, {', '.join(f'{a} as x{i}' for i, a in enumerate(items))} insert into O"
+    got = run(spark, query, S=rows)
+    for i, found in enumerate(got):
+        values = [float(r[2]) for r in rows[: i + 1] if r[2] is not None]
+        assert found == pytest.approx((i + 1, *(f(values) for f in items.values()))), i
+    df = environment(spark, S=rows).from_("S").cql(query).events("O")
+    assert "windowspecdefinition(__us" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_running_union_set(spark):
+    rows = [(1, "a", 2), (2, "b", 1), (3, "a", 2), (4, "a", None), (5, "c", 1)]
+    got = run(spark, "from S select unionSet(createSet(k)) as s insert into O", S=rows)
+    assert [list(r[0]) for r in got] == [["a"], ["a", "b"], ["a", "b"], ["a", "b"], ["a", "b", "c"]]
+
+
 def test_running_distinct(spark):
     rows = [(1, "a", 1), (2, "a", None), (3, "a", 1), (4, "b", 1), (5, "a", 2)]
     got = run(spark, "from S select k, distinctCount(v) as n group by k insert into O", S=rows)
