@@ -433,3 +433,8 @@ streamed("stream_length_window", "partition with (user_id of E) begin from E#win
 streamed("stream_join_time_time", "from Click#window.time(12 hours) as a join Purchase#window.time(12 hours) as b on a.user_id == b.user_id select a.event_id as l, b.event_id as r, a.cents + b.cents as total insert into O", "join_time_time")
 streamed("stream_pattern", BYUSER.replace("{p}", f"{EVERY} select a.event_id as a, b.event_id as b insert into O;"), "pat_every_ab")
 streamed("stream_sequence", BYUSER.replace("{p}", "every a=E[event_type == 'click'], b=E[event_type == 'purchase'] select a.event_id as a, b.event_id as b insert into O;"), "seq_ab")
+
+CHAIN = "partition with (user_id of E) begin from E[event_type == 'click' or event_type == 'purchase'] select event_id, event_type, cents insert into #A; from every a=#A[event_type == 'click'], b=#A[event_type == 'purchase'] select a.event_id as a, b.event_id as b, b.cents as cents insert into #B; from #B#window.length(3) select a, b, sum(cents) as total insert into O; end"
+CHAIN_SQL = f"+ x AS (SELECT * FROM e WHERE event_type IN ('click', 'purchase')), y AS (SELECT user_id, event_id AS a, lead(event_id) OVER ({U}) AS b, lead(event_type) OVER ({U}) AS kind, lead(cents) OVER ({U}) AS cents, us, event_id FROM x), z AS (SELECT y.* FROM y JOIN x ON x.event_id = y.a WHERE x.event_type = 'click' AND kind = 'purchase') SELECT a, b, CAST(sum(cents) OVER ({U} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM z"
+add("chain_inner", CHAIN, CHAIN_SQL)
+streamed("stream_chain", CHAIN, "chain_inner")

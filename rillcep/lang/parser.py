@@ -352,7 +352,7 @@ class Parser:
         if self.peek()[0] == "name" and self.is_("=", ahead=1):
             ref = self.name()
             self.need("=")
-        stream, filters = self.name(), []
+        stream, filters = ("#" if self.take("#") else "") + self.name(), []
         while self.take("["):
             filters.append(self.expression())
             self.need("]")

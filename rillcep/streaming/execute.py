@@ -1,7 +1,7 @@
 """Queries over streaming DataFrames.
 
-Stateless queries lower as in batch. Running aggregates, length and time windows, patterns and sequences keep one
-Program for each partition key in the state store; time-windowed joins are stream-stream joins; aligned batch and
+Stateless queries lower as in batch. Running aggregates, length and time windows, patterns and sequences, alone or
+feeding each other, keep one program for each partition key in the state store; time-windowed joins are stream-stream joins; aligned batch and
 session windows are Spark's own.
 """
 
@@ -21,7 +21,7 @@ from rillcep.lang import ast, parse
 from rillcep.operators import select, windows
 from rillcep.plans.lower import Lowering, Stream, inputs_of
 from rillcep.schema import SEQ, US, col
-from rillcep.streaming.program import Program
+from rillcep.streaming.program import Chain
 
 
 def stream(env, cql: str, out: str, delay: str = "0 seconds", reorder: bool = True) -> DataFrame:
@@ -43,11 +43,15 @@ def stream(env, cql: str, out: str, delay: str = "0 seconds", reorder: bool = Tr
     if not stateful and partition is None:
         lowered = Lowering(env.streams, env.extensions).lower(app)
         return lowered.outputs[out].df.select(*map(col, lowered.outputs[out].attributes))
-    if len(found) > 1:
-        raise AnalysisError("a stateful streaming query stands alone")
-    if calls and calls[0].full in ("session", "timeBatch"):
+    queries, made = [], {out}
+    while fresh := [q for q, _ in found if q.output.key in made and q not in queries]:  # those that lead to the output
+        queries += fresh
+        made |= {n for q in fresh for n in inputs_of(q.input)}
+    if len(queries) == 1 and calls and calls[0].full in ("session", "timeBatch"):
         return _windowed(env, query, partition, calls[0], delay)
-    return _programmed(env, query, partition, delay, reorder)
+    if any(p is not partition for q, p in found if q in queries):
+        raise AnalysisError("queries that feed each other are streamed in one partition, or in none")
+    return _programmed(env, queries, out, partition, delay, reorder)
 
 
 def _names(env):
@@ -66,17 +70,18 @@ def _time(df: DataFrame, delay: str) -> DataFrame:
     return df.withColumn("__time", F.timestamp_micros(F.col(US))).withWatermark("__time", delay)
 
 
-def _programmed(env, query: ast.Query, partition, delay: str, reorder: bool) -> DataFrame:
-    names = inputs_of(query.input)
+def _programmed(env, queries: list[ast.Query], out: str, partition, delay: str, reorder: bool) -> DataFrame:
+    made = {q.output.key for q in queries}
+    names = list(dict.fromkeys(n for q in queries for n in inputs_of(q.input) if n not in made))
     tagged, attributes, keys = None, {}, []
     for n in names:
         s, keys = _keyed(env, n, partition)
-        attributes = dict(s.attributes)
+        attributes[n] = list(s.attributes)
         one = s.df.select(US, SEQ, F.lit(n).alias("__stream"), *(col(k).cast("string").alias(k) for k in keys), F.to_json(F.struct(*map(col, s.attributes)), {"ignoreNullFields": "false"}).alias("__row"))
         tagged = one if tagged is None else tagged.unionByName(one)
-    schema = _output_schema(env, query, partition)
-    Program(query)  # what can't be streamed shows here
-    program, columns = pickle.dumps(query), [f.name for f in schema.fields]
+    schema = _output_schema(env, queries, out, partition)
+    Chain(queries, out, attributes)  # what can't be streamed shows here
+    program, columns = pickle.dumps((queries, out, attributes)), [f.name for f in schema.fields]
     by = keys or ["__all"]
     if not keys:
         tagged = tagged.withColumn("__all", F.lit("all"))
@@ -85,7 +90,7 @@ def _programmed(env, query: ast.Query, partition, delay: str, reorder: bool) ->
     def run(key, frames, state: GroupState):
         import json
 
-        held, pending = pickle.loads(state.get[0]) if state.exists else (Program(pickle.loads(program)), [])
+        held, pending = pickle.loads(state.get[0]) if state.exists else (Chain(*pickle.loads(program)), [])
         for pdf in frames:
             pending += [(u, s, place[n], n, r) for u, s, n, r in zip(pdf[US].tolist(), pdf[SEQ].tolist(), pdf["__stream"], pdf["__row"])]
         pending.sort(key=lambda e: e[:3])
@@ -94,24 +99,24 @@ def _programmed(env, query: ast.Query, partition, delay: str, reorder: bool) ->
             ready, pending = [e for e in pending if e[0] < limit], [e for e in pending if e[0] >= limit]
         else:
             ready, pending = pending, []
-        out = [row for u, s, _, n, r in ready for row in held.add({"us": u, "seq": s, "stream": n, "row": json.loads(r)})]
+        rows = [row for u, s, _, n, r in ready for row in held.add({"us": u, "seq": s, "stream": n, "row": json.loads(r)})]
         state.update((pickle.dumps((held, pending)),))
         if reorder and pending:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, pending[0][0] // 1000 + 1))
-        yield pd.DataFrame([row[:-1] for row in out], columns=columns).astype(object)
+        yield pd.DataFrame([row[:-1] for row in rows], columns=columns).astype(object)
 
     timeout = GroupStateTimeout.EventTimeTimeout if reorder else GroupStateTimeout.NoTimeout
     return _time(tagged, delay).groupBy(*map(col, by)).applyInPandasWithState(run, schema, T.StructType([T.StructField("state", T.BinaryType())]), "append", timeout)
 
 
-def _output_schema(env, query: ast.Query, partition) -> T.StructType:
-    """By lowering the query over empty batch streams of the same schemas."""
+def _output_schema(env, queries: list[ast.Query], out: str, partition) -> T.StructType:
+    """By lowering the queries over empty batch streams of the same schemas."""
     empty = {}
     for n, s in env.streams.items():
         empty[n] = Stream(env.spark.createDataFrame([], s.df.schema), s.attributes, s.place)
-    app = ast.App(elements=(query if partition is None else ast.Partition(partition.keys, (query,)),))
-    out = Lowering(empty, env.extensions).lower(app).outputs[query.output.key]
-    return out.df.select(*map(col, out.attributes)).schema
+    app = ast.App(elements=tuple(queries) if partition is None else (ast.Partition(partition.keys, tuple(queries)),))
+    made = Lowering(empty, env.extensions).lower(app).outputs[out]
+    return made.df.select(*map(col, made.attributes)).schema
 
 
 def _windowed(env, query: ast.Query, partition, call: ast.Call, delay: str) -> DataFrame:

@@ -13,6 +13,7 @@ from rillcep.operators import nfa
 from rillcep.operators.patterns import _own
 from rillcep.operators.select import item_name
 from rillcep.operators.windows import count_of, micros
+from rillcep.plans.lower import inputs_of
 
 
 def aggregate(name: str, values: list):
@@ -39,6 +40,37 @@ def aggregate(name: str, values: list):
     raise AnalysisError(f"{name}() can't be streamed")
 
 
+class SoFar:
+    """A running aggregate: add(value) -> its value over all so far, in constant space (distinctCount: its values)."""
+
+    def __init__(self, name: str):
+        self.name, self.n, self.value, self.mean, self.spread, self.seen = name, 0, None, 0.0, 0.0, set()
+
+    def add(self, v):
+        if self.name == "count":
+            self.n += 1
+            return self.n
+        if v is not None:
+            self.n += 1
+            if self.name == "sum":
+                self.value = v if self.value is None else self.value + v
+            elif self.name in ("min", "minForever", "max", "maxForever"):
+                least = self.name.startswith("min")
+                self.value = v if self.value is None else (min if least else max)(self.value, v)
+            elif self.name in ("and", "or"):
+                self.value = v if self.value is None else (self.value and v if self.name == "and" else self.value or v)
+            elif self.name in ("avg", "stdDev"):
+                away = v - self.mean
+                self.mean += away / self.n
+                self.spread += away * (v - self.mean)
+                self.value = self.mean if self.name == "avg" else math.sqrt(self.spread / self.n)
+            elif self.name == "distinctCount":
+                self.seen.add(v)
+            else:
+                raise AnalysisError(f"{self.name}() can't be streamed")
+        return len(self.seen) if self.name == "distinctCount" else self.value
+
+
 class Program:
     """add(event) -> output rows (values in select order, with us). An event is {stream, us, seq, row}.
 
@@ -88,7 +120,7 @@ class Program:
             if not self.input.strict and not any(fits):
                 return self._matched(self.matcher._due(event["us"]))
             return self._matched(self.matcher.add(event | {"fits": fits}))
-        if event["stream"] != self.input.stream:
+        if event["stream"] != self.input.key:
             return []
         row = event["row"]
         if not all(evaluate(f, lambda v: row[v.name]) is True for f in self.filters):
@@ -116,10 +148,8 @@ class Program:
         values = {}
         if self.aggregates:
             arguments = tuple(evaluate(c.args[0], look) if c.args and c.args[0] != ast.Const(None, "all") else 1 for c in self.aggregates)
-            if self.window is None:
-                held = self.groups.setdefault(key, {"all": []})["all"]
-                held.append(arguments)
-            else:
+            running = self.groups.setdefault(key, {})
+            if self.window is not None:
                 self.content.append((event["us"], key, arguments))
                 if self.window.full == "length":
                     while len(self.content) > count_of(self.window.args[0]):
@@ -128,12 +158,9 @@ class Program:
                     while self.content[0][0] <= event["us"] - micros(self.window.args[0]):
                         self.content.popleft()
                 held = [a for _, k, a in self.content if k == key]
-            forever = self.groups.setdefault(key, {"all": []})
             for i, c in enumerate(self.aggregates):
-                if c.name.endswith("Forever"):
-                    best = [v for v in (forever.get(i), arguments[i]) if v is not None]
-                    forever[i] = aggregate(c.name, best) if best else None
-                    values[c] = forever[i]
+                if self.window is None or c.name.endswith("Forever"):
+                    values[c] = running.setdefault(i, SoFar(c.name)).add(arguments[i])
                 else:
                     values[c] = aggregate(c.name, [a[i] for a in held])
 
@@ -154,6 +181,36 @@ class Program:
         return [(*out, event["us"])]
 
 
+class Chain:
+    """Queries that feed each other, as one program: add(event) -> rows of the output `out`."""
+
+    def __init__(self, queries: list[ast.Query], out: str, attributes: dict[str, list[str]]):
+        """attributes: names of those of the streams from outside."""
+        self.out, self.programs, known = out, [], dict(attributes)
+        todo = list(queries)
+        while todo:
+            made = {q.output.key for q in todo}
+            ready = next((q for q in todo if not made & set(inputs_of(q.input))), None)
+            if ready is None:
+                raise AnalysisError("queries feed each other in a circle")
+            todo.remove(ready)
+            program = Program(ready)
+            names = program.names(dict.fromkeys(known.get(inputs_of(ready.input)[0], ())))
+            known[ready.output.key] = names
+            self.programs.append((ready.output.key, set(inputs_of(ready.input)), program, names))
+
+    def add(self, event: dict) -> list[tuple]:
+        out, todo = [], deque([event])
+        while todo:
+            e = todo.popleft()
+            for key, inputs, program, names in self.programs:
+                for row in program.add(e) if e["stream"] in inputs else ():
+                    if key == self.out:
+                        out.append(row)
+                    todo.append({"us": row[-1], "seq": e["seq"], "stream": key, "row": dict(zip(names, row[:-1]))})
+        return out
+
+
 class _Value:
     def __init__(self, value):
         kind = "double" if isinstance(value, float) else "bool" if isinstance(value, bool) else "long"

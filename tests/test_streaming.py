@@ -77,6 +77,24 @@ def test_streaming_plans(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/p").select("v", "s").collect()) == [(1.0, 1.0), (1.0, 2.0)]
 
 
+def test_running_state_is_small():
+    """What a running aggregate keeps doesn't grow with the events."""
+    import pickle
+
+    from rillcep.lang import parse
+    from rillcep.streaming.program import Chain
+
+    text = "from S select k, sum(v) as s, avg(v) as m, stdDev(v) as d, min(v) as a, max(v) as b, count() as n group by k insert into O"
+    chain, sizes = Chain(list(parse(text).elements), "O", {"S": ["k", "v"]}), []
+    for i in range(1, 2001):
+        row = chain.add({"us": i, "seq": i, "stream": "S", "row": {"k": "x", "v": float(i % 7)}})[0]
+        sizes.append(len(pickle.dumps(chain)))
+    values = [i % 7 for i in range(1, 2001)]
+    mean = sum(values) / 2000
+    assert row[1:-1] == pytest.approx((sum(values), mean, (sum((v - mean) ** 2 for v in values) / 2000) ** 0.5, 0, 6, 2000))
+    assert max(sizes[100:]) < sizes[100] + 100
+
+
 def test_control_stream(spark, tmp_path):
     """Plans come and go by a stream of messages; one that can't be read stops nothing."""
     from rillcep.control import MetadataEvent, encode
