@@ -9,7 +9,8 @@
 5. An exact check follows, since a graph can miss links: each vector is compared with every cell that one within the
    threshold can lie in. A neighbour u at cosine t is at most sqrt(2 - 2t) away, so for v of cell a, u can lie in cell b
    only if v.(a - b) <= sqrt(2 - 2t) |a - b|. No pair is missed, however a dense group is split among cells, and the audit
-   has the graph's recall over all rows: n_found against n_links.
+   has the graph's recall over all rows: n_found against n_links. A vector visits its cells by a shuffle, in pieces of
+   bounded size; the few that can have neighbours almost anywhere go past blocks of all vectors instead.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ SAMPLE, CLUSTERS = 20_000, 2048
 #: Shards that a vector is in, and vectors of one shard's graph or of one search. Larger cells are cut by hash, at the
 #: cost of the graph's recall; the exact check doesn't depend on it.
 OVERLAP, PIECE = 3, 16_000
-#: Bytes of the vectors that a pass over all vectors compares them with, and vectors of a task multiplied at once.
+#: Bytes of the vectors that others are compared with at once, and vectors of a task multiplied at once.
 BLOCK, ROWS = 8 << 20, 256
+#: Cells that a vector visits by a shuffle.
+VISITS = 32
 #: Graph: neighbours kept, room for edges back before they are pruned too, the pruning slack and the beam of insertions.
 DEGREE, ROOM, ALPHA, INSERT = 20, 32, 1.2, 32
 #: Search: beam width, and how far below the threshold the range search still expands.
@@ -168,14 +171,26 @@ def search(x: np.ndarray, adjacency: list[np.ndarray], own: np.ndarray, threshol
     return tuple(np.concatenate([p[i] for p in pairs]) for i in range(2))
 
 
-def _assigner(middle: np.ndarray):
+def reach(x: np.ndarray, home: np.ndarray, middle: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a vector (rows) can have a neighbour at the threshold in a cell (columns)."""
+    apart, squares = float(np.sqrt(max(0.0, 2 - 2 * threshold))), (middle**2).sum(axis=1)
+    dots = x @ middle.T
+    between = np.sqrt(np.maximum(squares[home][:, None] + squares - 2 * (middle[home] @ middle.T), 0))
+    return dots[np.arange(len(x)), home][:, None] - dots <= apart * between + 1e-6
+
+
+def _assigner(middle: np.ndarray, threshold: float):
+    """Vectors with their cell, the cells of their shards, and those that they visit (none: too many)."""
+
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(batch.column("vector").to_pylist())
-            near = np.argsort(-(x @ middle.T), axis=1, kind="stable")[:, :OVERLAP]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(near[:, 0]), pa.array(list(near), pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64()))], ["rep", "copies", "cell", "cells", "vector"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                x = unit(part.column("vector").to_pylist())
+                near = np.argsort(-(x @ middle.T), axis=1, kind="stable")[:, :OVERLAP]
+                inside = reach(x, near[:, 0], middle, threshold)
+                visits = [np.flatnonzero(r) if n <= VISITS else None for r, n in zip(inside, inside.sum(axis=1))]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), pa.array(near[:, 0]), pa.array(list(near), pa.list_(pa.int64())), pa.array(visits, pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64()))], ["rep", "copies", "cell", "cells", "visits", "vector"])
 
     return run
 
@@ -248,26 +263,28 @@ def _packed(batches):
 
 
 class Block:
-    """Vectors that all others are compared with."""
+    """Vectors that others are compared with; middle: the centroids, or None where all are compared with all."""
 
-    def __init__(self, reps: np.ndarray, copies: np.ndarray, cells: np.ndarray, x: np.ndarray, middle: np.ndarray, threshold: float):
+    def __init__(self, reps: np.ndarray, copies: np.ndarray, cells: np.ndarray, x: np.ndarray, middle: np.ndarray | None, threshold: float):
         by = np.lexsort((reps, cells))
         self.reps, self.copies, self.cells, self.x = reps[by], copies[by], cells[by], x[by]
-        self.middle, self.threshold, self.apart = middle, threshold, float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+        self.middle, self.threshold = middle, threshold
+        self._label()
 
     def matches(self, x: np.ndarray, cells: np.ndarray):
         """(rows, members) arrays of all pairs at the threshold, a few rows at a time."""
-        squares = (self.middle**2).sum(axis=1)
         for lo in range(0, len(x), ROWS):
-            part, own = x[lo : lo + ROWS], cells[lo : lo + ROWS]
-            dots = part @ self.middle.T
-            between = np.sqrt(np.maximum(squares[own][:, None] + squares - 2 * (self.middle[own] @ self.middle.T), 0))
-            reach = dots[np.arange(len(part)), own][:, None] - dots <= self.apart * between + 1e-6
-            members = np.flatnonzero(reach.any(axis=0)[self.cells])
+            part = x[lo : lo + ROWS]
+            if self.middle is None:
+                a, b = np.nonzero(part @ self.x.T >= self.threshold)
+                yield a + lo, b
+                continue
+            inside = reach(part, cells[lo : lo + ROWS], self.middle, self.threshold)
+            members = np.flatnonzero(inside.any(axis=0)[self.cells])
             a, b = np.nonzero(part @ self.x[members].T >= self.threshold)
             yield a + lo, members[b]
 
-    def label(self) -> None:
+    def _label(self) -> None:
         """root: of each member, the one of smallest rep that it is connected with inside the block."""
         root, rank = np.arange(len(self.reps)), np.argsort(np.argsort(self.reps))
         for a, b in self.matches(self.x, self.cells):
@@ -280,30 +297,70 @@ class Block:
                     root[root == j] = i
         self.root = root
 
+    def found(self, reps: np.ndarray, x: np.ndarray, cells: np.ndarray):
+        """For each vector with matches here: their number, and an edge to each component of the block among them."""
+        for a, b in self.matches(x, cells):
+            if not len(a):
+                continue
+            low, n = a[0], a[-1] + 1 - a[0]
+            other = reps[a] != self.reps[b]
+            links = np.bincount(a[other] - low, self.copies[b[other]], n).astype(np.int64)
+            edges = np.zeros((n, len(self.reps)), dtype=bool)
+            edges[a - low, self.root[b]] = True
+            row, root = np.nonzero(edges)
+            first = np.concatenate([[True], row[1:] != row[:-1]])
+            yield arrow(FOUND, [reps[row + low], np.where(first, links[row], 0), self.reps[root], np.zeros(len(row), np.int64)])
+
 
 def _matcher(block: Block):
-    """For each vector with matches in the block: their number, and an edge to each component of the block among them."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from block.found(batch.column("rep").to_numpy(), _matrix(batch), batch.column("cell").to_numpy())
+
+    return run
+
+
+def _hosts(threshold: float):
+    """Pieces of cells, each with its members before its visitors."""
 
     def run(batches):
+        key, members, block = None, [], None
+
+        def piece():
+            table_ = pa.Table.from_batches(members)
+            n = table_.num_rows
+            return Block(table_.column("rep").to_numpy(), table_.column("copies").to_numpy(), np.zeros(n, np.int64), _matrix(table_), None, threshold)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            reps, cells = batch.column("rep").to_numpy(), batch.column("cell").to_numpy()
-            for a, b in block.matches(_matrix(batch), cells):
-                if not len(a):
-                    continue
-                low, n = a[0], a[-1] + 1 - a[0]
-                other = reps[a] != block.reps[b]
-                links = np.bincount(a[other] - low, block.copies[b[other]], n).astype(np.int64)
-                edges = np.zeros((n, len(block.reps)), dtype=bool)
-                edges[a - low, block.root[b]] = True
-                row, root = np.nonzero(edges)
-                first = np.concatenate([[True], row[1:] != row[:-1]])
-                yield arrow(FOUND, [reps[row + low], np.where(first, links[row], 0), block.reps[root], np.zeros(len(row), np.int64)])
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "piece", "visitor")], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part, own = batch.slice(lo, hi - lo), tuple(keys[lo, :2])
+                if own != key:
+                    key, members, block = own, [], None
+                if not keys[lo, 2]:
+                    members.append(part)
+                elif members:
+                    block = block or piece()
+                    yield from block.found(part.column("rep").to_numpy(), _matrix(part), np.zeros(hi - lo, np.int64))
 
     return run
 
 
+def _visited(placed: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Matches of the vectors that visit cells, each compared with the members of each piece of those."""
+    pieces = placed.groupBy("cell").agg(F.ceil(F.count("*") * (size * 8) / BLOCK).cast("int").alias("pieces"))  # CLUSTERS rows at most
+    members = placed.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    members = members.select("cell", "piece", F.lit(0).alias("visitor"), "rep", "copies", "vector")
+    visitors = placed.where("visits is not null").select(F.explode("visits").alias("cell"), "rep", "copies", "vector").join(F.broadcast(pieces), "cell")
+    visitors = visitors.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("cell", "piece", F.lit(1).alias("visitor"), "rep", "copies", "vector")
+    rows = members.unionByName(visitors).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "visitor", "rep")
+    return staged(rows.mapInArrow(_hosts(threshold), MADE), "found")
+
+
 MADE = "rep long, links long, root long, found long"
 
 
@@ -328,25 +385,27 @@ def _searched(placed: DataFrame, threshold: float) -> DataFrame:
 
 
 def _of_dimension(classes: DataFrame, size: int, threshold: float) -> list[DataFrame]:
-    """What the graph search found, and a table of the exact check's matches for each block."""
+    """What the graph search found, and the exact check's matches."""
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()["vector"]
     k = int(min(CLUSTERS, max(1, n // 800), len(sample)))
     middle = centroids(unit(list(sample)), k)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = classes.mapInArrow(_assigner(middle), "rep long, copies long, cell long, cells array<long>, vector array<double>")
+    placed = classes.mapInArrow(_assigner(middle, threshold), "rep long, copies long, cell long, cells array<long>, visits array<long>, vector array<double>")
     placed = staged(placed.repartitionByRange(parts, "cell", "rep"), "placed")  # rows multiplied together share cells
-    found = [_searched(placed, threshold)]
-    rows_ = placed.select("rep", "copies", "cell", "vector")
+    found = [_searched(placed.drop("visits"), threshold), _visited(placed, size, threshold)]
+    wide = placed.where("visits is null").select("rep", "cell", "vector")
+    if wide.isEmpty():
+        return found
+    all_ = placed.select("rep", "copies", "cell", "vector")
     passes = -(-n * size * 8 // BLOCK)
     for p in range(passes):
-        rows = rows_.where(F.pmod(F.xxhash64("rep"), F.lit(passes)) == p).mapInArrow(_packed, "rep binary, copies binary, cell binary, vector binary").collect()
+        rows = all_.where(F.pmod(F.xxhash64("rep"), F.lit(passes)) == p).mapInArrow(_packed, "rep binary, copies binary, cell binary, vector binary").collect()
         if not rows:
             continue
         reps, copies, cells = (np.concatenate([np.frombuffer(r[c], dtype=np.int64) for r in rows]) for c in range(3))
         block = Block(reps, copies, cells, np.concatenate([np.frombuffer(r[3]) for r in rows]).reshape(-1, size), middle, threshold)
-        block.label()
-        found.append(staged(rows_.mapInArrow(_matcher(block), MADE), "found"))
+        found.append(staged(wide.mapInArrow(_matcher(block), MADE), "found"))
     return found
 
 

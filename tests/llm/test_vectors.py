@@ -20,9 +20,11 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("piece", [16_000, 20])
-def test_against_brute_force(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece,visits", [(16_000, 32), (20, 0)])
+def test_against_brute_force(spark, monkeypatch, piece, visits):
+    """visits: 0 sends every vector past blocks of all."""
     monkeypatch.setattr(vectors, "PIECE", piece)
+    monkeypatch.setattr(vectors, "VISITS", visits)
     data = rows()
     df = spark.createDataFrame([(i, v, 0, 1, "x", 2) for i, v in data], SCHEMA)
     result, audit = vectors.near_duplicates(df, 0.95)
@@ -46,8 +48,10 @@ def test_against_brute_force(spark, monkeypatch, piece):
 
 
 def test_hot_group_over_many_clusters(spark, monkeypatch):
-    """A third of the rows are distinct near copies, which noise splits among many of the centroids."""
-    monkeypatch.setattr(vectors, "BLOCK", 500_000, raising=False)
+    """A third of the rows are distinct near copies, which noise splits among many of the centroids; some vectors visit
+    their cells, in pieces, others can have neighbours in too many."""
+    monkeypatch.setattr(vectors, "BLOCK", 50_000)
+    monkeypatch.setattr(vectors, "VISITS", 12)
     rng = np.random.default_rng(3)
     n, d = 16_000, 16
     x = rng.normal(size=(n, d))
