@@ -163,6 +163,7 @@ add("win_named", "define window W (event_id long, user_id long, cents long) leng
 
 # Output kinds, rates, chunks
 add("expired_length", "partition with (user_id of E) begin from E#window.length(3) select event_id insert expired events into O; end", f"SELECT event_id FROM (SELECT event_id, lead(event_id, 3) OVER ({U}) AS l FROM e) WHERE l IS NOT NULL")
+add("win_cron_days", "from E#window.cron('0 30 6,18 ? * MON-FRI') select count() as n, max(event_id) as last insert into O", "+ f AS (SELECT epoch_us(d + t) AS fire FROM (SELECT unnest(range((SELECT min(ts)::DATE FROM events)::TIMESTAMP, (SELECT max(ts)::DATE FROM events)::TIMESTAMP + INTERVAL 8 DAY, INTERVAL 1 DAY)) AS d), (VALUES (INTERVAL 390 MINUTE), (INTERVAL 1110 MINUTE)) AS v(t) WHERE isodow(d) < 6) SELECT count(*) AS n, max(event_id) AS last FROM (SELECT event_id, (SELECT min(fire) FROM f WHERE fire > us) AS fire FROM e) GROUP BY fire")
 add("win_batch", "from E#window.batch() select event_id, sum(cents) as total, count() as n insert into O", "SELECT event_id, cents AS total, CAST(1 AS BIGINT) AS n FROM e")
 add("expired_time", "from E#window.time(1 hour) select event_id, eventTimestamp() as at insert expired events into O", "SELECT event_id, (us + 3600000000) // 1000 AS at FROM e")
 add("all_events", "from E#window.time(1 hour) select event_id, eventTimestamp() as at insert all events into O", "SELECT event_id, us // 1000 AS at FROM e UNION ALL SELECT event_id, (us + 3600000000) // 1000 FROM e")

@@ -136,22 +136,76 @@ def _sliding_time(df: DataFrame, time: Column, span: int, keys: list[str]) -> tu
     return df, Win("time", frame, parts=parts, sliced=None if keys else sliced, expire=lambda d: d.withColumn(US, F.col(US) + span))
 
 
-def cron_period(text: str) -> int:
-    """Microseconds between fires of a cron expression of one step: every n seconds, minutes or hours, or daily."""
+#: Names and numbers of cron's fields: seconds, minutes, hours, days of the month, months, days of the week (Sunday is 1).
+CRON = ((0, 59), (0, 59), (0, 23), (1, 31), (1, 12), (1, 7))
+CRON_NAMES = {n: i for names in ("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC", "SUN MON TUE WED THU FRI SAT") for i, n in enumerate(names.split(), 1)}
+DAY = 86_400_000_000
+
+
+def cron_fields(text: str) -> list[list[int]]:
+    """The values of each field that a cron expression of six fields (or five, without seconds) allows."""
     fields = text.split()
-    if len(fields) == 5:
-        fields = ["0", *fields]
-    units = [1, 60, 3600]
-    for i, unit in enumerate(units):
-        rest = fields[i + 1 : 3]
-        if all(f == "0" for f in fields[:i]) and all(f == "*" for f in rest) and all(f in "*?" for f in fields[3:]):
-            if fields[i] == "*":
-                return unit * 1_000_000
-            if fields[i].startswith(("*/", "0/")):
-                return int(fields[i][2:]) * unit * 1_000_000
-    if fields[:3] == ["0", "0", "0"] and all(f in "*?" for f in fields[3:]):
-        return 86_400_000_000
-    raise AnalysisError(f"cron expression {text!r} isn't supported")
+    fields = ["0", *fields] if len(fields) == 5 else fields
+    if len(fields) != 6:
+        raise AnalysisError(f"cron expression {text!r} isn't supported")
+    out = []
+    for field, (low, high) in zip(fields, CRON):
+        values: set[int] = set()
+        for part in field.upper().split(","):
+            span, _, step = part.partition("/")
+            a, _, b = span.partition("-")
+            try:
+                number = lambda x: CRON_NAMES[x] if x in CRON_NAMES else int(x)
+                first, last = (low, high) if a in ("*", "?") else (number(a), number(b) if b else high if step else number(a))
+                values |= set(range(first, last + 1, int(step or 1)))
+            except ValueError:
+                raise AnalysisError(f"cron expression {text!r} isn't supported") from None
+        if not values or min(values) < low or max(values) > high:
+            raise AnalysisError(f"cron expression {text!r} isn't supported")
+        out.append(sorted(values))
+    return out
+
+
+def _cron_days(bounds: DataFrame, fields: list[list[int]]) -> DataFrame:
+    """(day, fires) for each day from that of column a to some years after b of the one row of bounds."""
+    day = F.explode(F.sequence(F.to_date(F.timestamp_micros("a")), F.date_add(F.to_date(F.timestamp_micros("b")), 3000))).alias("day")
+    fires = F.dayofmonth("day").isin(fields[3]) & F.month("day").isin(fields[4]) & F.dayofweek("day").isin(fields[5])
+    return bounds.select(day).select("day", fires.alias("fires"))
+
+
+def cron_ticks(bounds: DataFrame, text: str) -> DataFrame:
+    """US of every fire from column a to column b of the one row of bounds; the days are dealt out before their fires."""
+    fields = cron_fields(text)
+    days = _cron_days(bounds, fields).where("fires").select(F.unix_micros(F.col("day").cast("timestamp")).alias("day")).repartition("day")
+    at = F.col("day")
+    for name, values, unit in (("h", fields[2], 3600), ("m", fields[1], 60), ("s", fields[0], 1)):
+        days = days.withColumn(name, F.explode(F.array(*(F.lit(v * unit * 1_000_000).cast("long") for v in values))))
+        at = at + F.col(name)
+    ticks = days.select(at.alias(US)).join(F.broadcast(bounds.select("a", "b")), F.col(US).between(F.col("a"), F.col("b")))
+    return ticks.select(US)
+
+
+def _with_next_fire(df: DataFrame, text: str) -> DataFrame:
+    """Adds __end: the first fire after each event. The table of days has a row for each day of the stream."""
+    seconds, minutes, hours, *_ = fields = cron_fields(text)
+    days = _cron_days(df.agg(F.min(US).alias("a"), F.max(US).alias("b")).where("a is not null"), fields)
+    later = F.min(F.when(F.col("fires"), F.col("day"))).over(W.orderBy("day").rowsBetween(1, W.unboundedFollowing))
+    days = days.select(F.col("day").alias("__day"), "fires", later.alias("__then"))
+    at = F.timestamp_micros(F.col(US))
+    after = lambda values, now: F.array_min(F.filter(F.array(*map(F.lit, values)), lambda v: v > now))
+    second = lambda h, m, s: h * 3600 + m * 60 + s
+    h, m, s = F.hour(at), F.minute(at), F.second(at)
+    # In this minute, else in this hour, else on this day, else on the next day that fires.
+    today = F.coalesce(
+        F.when(h.isin(hours) & m.isin(minutes), second(h, m, after(seconds, s))),
+        F.when(h.isin(hours), second(h, after(minutes, m), F.lit(seconds[0]))),
+        second(after(hours, h), F.lit(minutes[0]), F.lit(seconds[0])),
+    )
+    start = lambda d: F.unix_micros(d.cast("timestamp"))
+    first = second(F.lit(hours[0]), F.lit(minutes[0]), F.lit(seconds[0]))
+    df = df.withColumn("__day", F.to_date(at)).join(F.broadcast(days), "__day")
+    end = F.when(F.col("fires") & today.isNotNull(), start(F.col("__day")) + today.cast("long") * 1_000_000).otherwise(start(F.col("__then")) + first.cast("long") * 1_000_000)
+    return df.withColumn("__end", end.cast("long")).drop("__day", "fires", "__then")
 
 
 def attach(df: DataFrame, call: ast.Call, keys: list[str], attributes: dict[str, str], extensions: Registry) -> tuple[DataFrame, Win]:
@@ -213,9 +267,8 @@ def attach(df: DataFrame, call: ast.Call, keys: list[str], attributes: dict[str,
         df = df.withColumn("__batch", batch)
         return df.withColumn("__end", F.max(US).over(W.partitionBy(*map(col, by), "__n")) + gap), Win("batch", batch="__batch")
     if name == "cron":
-        span = cron_period(args[0].value)
-        df = df.withColumn("__batch", F.floor(F.col(US) / span))
-        return df.withColumn("__end", (F.col("__batch") + 1) * span), Win("batch", batch="__batch")
+        df = _with_next_fire(df, args[0].value)
+        return df.withColumn("__batch", F.col("__end")), Win("batch", batch="__batch")
     if name == "delay":
         return df.withColumn(US, F.col(US) + micros(args[0])), Win("shift", running(keys).frame)
     if name in ("sort", "frequent", "lossyFrequent"):

@@ -116,10 +116,7 @@ class Lowering:
         elif d.at == "start":
             ticks = F.col("a")
         else:
-            span = windows.cron_period(d.at)
-            first = F.ceil(F.col("a") / span) * span
-            spans = spans.select(F.explode(F.when(first <= F.col("b"), F.sequence(first, F.col("b"), F.lit(span * 1000)))).alias("a"), "b").repartition("a")
-            ticks = F.explode(F.sequence("a", F.least(F.col("a") + span * 999, "b"), F.lit(span)))
+            spans, ticks = windows.cron_ticks(spans, d.at), F.col(US)
         df = spans.select(ticks.alias(US)).select(F.floor(F.col(US) / 1000).cast("long").alias("triggered_time"), US, F.lit(0).cast("long").alias(SEQ))
         return Stream(df, {"triggered_time": "long"}, len(self.streams))
 

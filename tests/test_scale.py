@@ -136,3 +136,52 @@ def test_tables_without_equality(spark, monkeypatch):
     for query in (theta, some):
         with pytest.raises(AnalysisError):
             run(spark, query, S=rows, L=limits)
+
+
+def next_fire(ms, fields):
+    """The first whole second after ms that all fields allow, hour by hour and minute by minute."""
+    from datetime import UTC, datetime, timedelta
+
+    t = datetime.fromtimestamp(ms // 1000 + 1, UTC)
+    while True:
+        weekday = t.isoweekday() % 7 + 1
+        if not (t.day in fields[3] and t.month in fields[4] and weekday in fields[5] and t.hour in fields[2]):
+            t = t.replace(minute=0, second=0) + timedelta(hours=1)
+        elif t.minute not in fields[1]:
+            t = t.replace(second=0) + timedelta(minutes=1)
+        elif t.second not in fields[0]:
+            t += timedelta(seconds=1)
+        else:
+            return int(t.timestamp()) * 1000
+
+
+@pytest.mark.parametrize("cron", ["0 0 * * * ?", "*/7 * * * * ?", "30 15,45 9-17 ? * MON-FRI", "0 0 0 1 1/3 ?", "5 5 5 29 2 ?", "10 0/20 * * * SUN"])
+def test_cron_windows(spark, cron):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(cron)
+    rows = sorted({(1_700_000_000_000 + rng.randrange(0, 200 * 86_400_000), "a", i % 5) for i in range(60)})
+    rows = [*rows[:30], *((rows[30][0] + 1000 * i, "a", i) for i in range(40) if rows[30][0] + 1000 * i < rows[31][0]), *rows[31:]]
+    got = run(spark, f"from S#window.cron('{cron}') select count() as n, sum(v) as s insert into O", S=rows)
+    fields, want = windows.cron_fields(cron), defaultdict(list)
+    for t, _, v in rows:
+        want[next_fire(t, fields)].append(float(v))
+    assert got == [(len(v), sum(v)) for _, v in sorted(want.items())]
+
+
+def test_cron_trigger(spark):
+    rows = [(1_700_000_000_000, "a", 1), (1_700_000_000_000 + 3 * 86_400_000, "a", 1)]
+    got = run(spark, "define trigger T at '0 30 */5 * * ?'; from T select triggered_time insert into O", S=rows)
+    fields, t, want = windows.cron_fields("0 30 */5 * * ?"), rows[0][0] - 1000, []
+    while (t := next_fire(t, fields)) <= rows[1][0]:
+        want.append((t,))
+    assert got == want and len(want) == 15
+
+
+def test_cron_refused():
+    from rillcep.errors import AnalysisError
+
+    for text in ("* *", "0 0 0 32 1 ?", "x * * * * ?", "0 61 * * * ?"):
+        with pytest.raises(AnalysisError):
+            windows.cron_fields(text)
