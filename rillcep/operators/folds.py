@@ -82,8 +82,9 @@ def _names(args, attributes) -> list[str]:
     return [a.name for a in args if isinstance(a, ast.Var)] or list(attributes)
 
 
-def sort_of(args, attributes):
-    n, by = args[0].value, []
+def sort_keys(args) -> list[tuple[str, bool]]:
+    """(attribute, descending) of the sort window's arguments."""
+    by = []
     for a in args[1:]:
         if isinstance(a, ast.Var):
             by.append((a.name, False))
@@ -91,6 +92,11 @@ def sort_of(args, attributes):
             by[-1] = (by[-1][0], a.value == "desc")
         else:
             raise AnalysisError("sort() takes a size, attributes and their directions")
+    return by
+
+
+def sort_of(args, attributes):
+    n, by = args[0].value, sort_keys(args)
     return lambda: SortWindow(n, by)
 
 

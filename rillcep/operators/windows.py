@@ -273,6 +273,8 @@ def attach(df: DataFrame, call: ast.Call, keys: list[str], attributes: dict[str,
         return df.withColumn(US, F.col(US) + micros(args[0])), Win("shift", running(keys).frame)
     if name in ("sort", "frequent", "lossyFrequent"):
         make = {"sort": folds.sort_of, "frequent": folds.frequent_of, "lossyFrequent": folds.lossy_of}[name]
+        if name == "sort" and not keys:
+            return _sorted_in_slices(df, make(args, attributes), args[0].value, folds.sort_keys(args), attributes)
         return _folded(df, make(args, attributes), keys, attributes)
     if (found := extensions.find(name, "window")) is not None:
         constants = [a.value for a in args if isinstance(a, ast.Const)]
@@ -281,6 +283,22 @@ def attach(df: DataFrame, call: ast.Call, keys: list[str], attributes: dict[str,
     raise AnalysisError(f"no window {name}")
 
 
+#: Marks events of earlier slices that a fold begins with, and doesn't emit.
+SEED = "__seed"
+
+
+def _sorted_in_slices(df: DataFrame, make: Callable, n: int, by: list[tuple[str, bool]], attributes: dict[str, str]) -> tuple[DataFrame, Win]:
+    """sort(n) over all events: each slice's fold begins with the n first of all slices before, which are among the n
+    first of each (SLICES times n rows, copied to the slices behind)."""
+    df = in_slices(df).withColumn(SEED, F.lit(False))
+    order = [F.desc_nulls_last(f"`{a}`") if down else F.asc_nulls_first(f"`{a}`") for a, down in by] + [F.col(US), F.col(SEQ)]
+    first = lambda d: d.withColumn("__nth", F.row_number().over(W.partitionBy(SLICE).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth")
+    behind = F.when(F.col(SLICE) < SLICES - 1, F.sequence(F.col(SLICE) + 1, F.lit(SLICES - 1)))
+    seeds = first(first(df).withColumn(SLICE, F.explode(behind))).withColumn(SEED, F.lit(True))
+    df, win = _folded(df.unionByName(seeds), make, [SLICE], attributes)
+    return df.drop(SLICE, SEED), win
+
+
 def _folded(df: DataFrame, make: Callable, keys: list[str], attributes: dict[str, str]) -> tuple[DataFrame, Win]:
     """Contents by a fold over each partition's events in order; the state is the window itself, never the partition."""
     schema = T.StructType([*df.schema.fields, T.StructField("__held", T.ArrayType(T.StructType([f for f in df.schema.fields if f.name in attributes])))])
@@ -297,7 +315,7 @@ def _folded(df: DataFrame, make: Callable, keys: list[str], attributes: dict[str
                 if window is None or key != last:
                     last, window = key, make()
                 content = window.add(event)
-                if content is None:  # the event itself isn't taken
+                if content is None or event.get(SEED):  # the event itself isn't taken
                     continue
                 kept.append(row)
                 held.append([{a: e[a] for a in attributes} for e in content])

@@ -185,3 +185,17 @@ def test_cron_refused():
     for text in ("* *", "0 0 0 32 1 ?", "x * * * * ?", "0 61 * * * ?"):
         with pytest.raises(AnalysisError):
             windows.cron_fields(text)
+
+
+def test_sort_window_over_slices(spark, monkeypatch):
+    """The n first of all so far, with ties by arrival and nulls first, whatever the slices."""
+    monkeypatch.setattr(windows, "SLICES", 5)
+    values = [3, 1, None, 2, 2, 5, 0, 1, 1, 4, None, 2, 0, 3, 3, 1, 2, 0, 5, 4]
+    rows = [(1000 + i // 2, "a", v) for i, v in enumerate(values)]
+    for direction, key in (("asc", lambda v: (v is not None, v or 0)), ("desc", lambda v: (v is None, -(v or 0)))):
+        got = run(spark, f"from S#window.sort(3, v, '{direction}') select count() as n, sum(v) as s insert into O", S=rows)
+        for i, found in enumerate(got):
+            held = sorted(values[: i + 1], key=key)[:3]
+            known = [v for v in held if v is not None]
+            assert found == (len(held), float(sum(known)) if known else None), (direction, i)
+        assert len(got) == len(rows)
