@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillcep.llm.common import arrow, discard, mix64, random64, staged, sub_batches, table, token_ids
+from rillcep.llm.common import arrow, discard, mix64, random64, staged, sub_batches, table
 
 #: Symbols of an anchor's gram, and the bytes of a symbol.
 GRAM, SIZE = {"bytes": 64, "words": 8}, {"bytes": 1, "words": 8}
@@ -38,18 +38,18 @@ PIECE = 2 << 20
 
 _TABLE = random64(256, 101)
 _BASE = int(random64(1, 103)[0]) | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS = [np.ones(0, dtype=np.uint64)] * 2
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        step = np.full(size, _BASE, dtype=np.uint64)
-        back = np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        step[0] = back[0] = 1
-        _POWERS[size] = np.cumprod(step), np.cumprod(back)
-    return _POWERS[size]
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the base and of its inverse; they are kept, as many as the longest piece needed."""
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, int(n).bit_length())
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            step = np.full(size, base, dtype=np.uint64)
+            step[0] = 1
+            _POWERS[k] = np.cumprod(step)
+    return _POWERS
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -63,8 +63,21 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def symbols(text: bytes, unit: str) -> bytes:
-    """A text as the bytes of its symbols."""
-    return text if unit == "bytes" else token_ids(text.split()).tobytes()
+    """A text as the bytes of its symbols; a word's is its length and rolling polynomial hash, mixed."""
+    if unit == "bytes":
+        return text
+    data, (starts, ends) = np.frombuffer(text, dtype=np.uint8), word_bounds(text)
+    out, at = np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):  # words of about PIECE bytes at once
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, side="right")))
+        first, last = int(starts[at]), int(ends[to - 1])
+        powers, inverses = _powers(last - first + 1)
+        sums = np.zeros(last - first + 1, dtype=np.uint64)
+        np.cumsum(_TABLE[data[first:last]] * powers[: last - first], out=sums[1:])
+        lo, hi = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = mix64((sums[hi] - sums[lo]) * inverses[lo] + (hi - lo).astype(np.uint64))
+        at = to
+    return out.tobytes()
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:

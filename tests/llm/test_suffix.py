@@ -86,6 +86,16 @@ def test_multikey_sort():
         assert lcp[k] == next((i for i in range(width) if a[i] != b[i]), width)
 
 
+def test_word_symbols(monkeypatch):
+    """Equal words have equal symbols wherever they stand, others not, also when a text is read in pieces."""
+    text = (prose(400, 9) + "  a aa aaa \t b\n\x0bé " + "long" * 90 + " " + prose(50, 9)).encode()
+    whole = np.frombuffer(suffix.symbols(text, "words"), np.uint64)
+    words = text.split()
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words)) == len(set(zip(words, whole.tolist())))
+    monkeypatch.setattr(suffix, "PIECE", 64)
+    assert suffix.symbols(text, "words") == whole.tobytes() and suffix.symbols(b" \n", "words") == suffix.symbols(b"", "words") == b""
+
+
 def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 100)
     text = prose(200, 9).encode()
