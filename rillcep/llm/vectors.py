@@ -34,8 +34,9 @@ OVERLAP, PIECE = 3, 16_000
 BLOCK, ROWS = 8 << 20, 256
 #: Cells that a vector visits by a shuffle.
 VISITS = 32
-#: Graph: neighbours kept, room for edges back before they are pruned too, the pruning slack and the beam of insertions.
-DEGREE, ROOM, ALPHA, INSERT = 20, 32, 1.2, 32
+#: Graph: neighbours kept, room for edges back before they are pruned too, the pruning slack, the beam of insertions, and
+#: the nearest that point back in the end.
+DEGREE, ROOM, ALPHA, INSERT, BACK = 20, 32, 1.2, 32, 8
 #: Search: beam width, and how far below the threshold the range search still expands.
 BEAM, SLACK = 24, 0.05
 
@@ -140,7 +141,11 @@ def grow(x: np.ndarray) -> list[np.ndarray]:
                 own = own[own >= 0]
             graph[node] = -1
             graph[node, : len(own)], many[node] = own, len(own)
-    return [g[:m] for g, m in zip(graph, many)]
+    # Pruning must leave no vector that none leads to: the nearest of each point back to it, whatever their room.
+    a, b = np.repeat(np.arange(n), np.minimum(many, BACK)), np.concatenate([*(g[: min(m, BACK)] for g, m in zip(graph, many)), np.zeros(0, dtype=np.int64)])
+    order = np.argsort(b, kind="stable")
+    back = np.split(a[order], np.searchsorted(b[order], np.arange(1, n)))
+    return [np.unique(np.concatenate([g[:m], r])) for g, m, r in zip(graph, many, back)]
 
 
 def search(x: np.ndarray, adjacency: list[np.ndarray], own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
